@@ -148,7 +148,7 @@ def fit(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules: i
     rules: list[Rule] = []
     prune = np.arange(len(x)) % 3 == 2
     alive = np.ones(len(x), bool)
-    while len(rules) < max_rules and (alive & bad & ~prune).sum() >= 5:
+    while len(rules) < max_rules and (alive & bad & ~prune).sum() >= 3:
         g = alive & ~prune
         gx, gy, conds, inside = x[g], bad[g], [], np.ones(g.sum(), bool)
         while len(conds) < max_conditions and (~gy[inside]).any():
