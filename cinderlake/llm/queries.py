@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets
+from . import mixing, packing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *base, "base_failed", "rule", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_secret_scan, op8_quality_rules)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
