@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets
+from . import jaccard, mixing, packing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_links", "component_id", "kept")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,6 +36,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_mix_sources, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
