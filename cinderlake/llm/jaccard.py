@@ -25,9 +25,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, require, shuffle_partitions
+from ._util import cut, require
 from ._words import U, Words, mix, texts
-from .components import components
+from .components import components, forest, runs_of, settle, spread, unit_rows
 
 THRESHOLD, N, RECALL, ROWS, BLOCK = 0.8, 5, 0.9999, 5, 128
 
@@ -145,71 +145,6 @@ def _verify(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     return i[ok], j[ok]
 
 
-def forest(m: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join different trees: a spanning forest of the links."""
-    up = list(range(m))
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def runs_of(batches, keys: int):
-    """Whole runs of rows with equal leading key columns, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-
-    def key_of(b, r):
-        return tuple(b.column(k)[r].as_py() for k in range(keys))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        change = np.zeros(b.num_rows, bool)
-        for k in range(keys):
-            v = b.column(k).to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        at = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        for x, y in zip(at, at[1:], strict=False):
-            part = b.slice(x, y - x)
-            if held and key_of(held[0], 0) != key_of(part, 0):
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def unit_rows(members: DataFrame, group: str, node: str, block: int) -> DataFrame:
-    """``unit, side`` and the columns of ``members``: each row once for a small group; for a group of more than
-    ``block`` rows once for every pair of blocks that its block is in. ``unit`` is a string that sorts by group."""
-    counts = members.groupBy(group).agg(F.count("*").alias("__n"))
-    counts = cut(counts.select(F.col(group).alias("__g"), F.ceil(F.col("__n") / block).cast("int").alias("__blocks")))
-    d = members.join(counts, F.col(group) == F.col("__g")).drop("__g")
-    d = d.withColumn("__block", F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int"))
-    d = d.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    lo, hi = F.least("__block", "__other"), F.greatest("__block", "__other")
-    unit = F.concat_ws(":", F.col(group).cast("string"), lo, hi)
-    side = F.when(lo == hi, F.lit(-1)).otherwise(F.when(F.col("__block") == lo, 0).otherwise(1))
-    return d.select(unit.alias("unit"), side.cast("int").alias("side"), *members.columns)
-
-
-def spread(units: DataFrame) -> DataFrame:
-    """Whole units to tasks of even size: by ranges of a hash of the unit, sorted."""
-    p = max(shuffle_partitions(units.sparkSession), 8)
-    d = units.withColumn("__u", F.xxhash64("unit"))
-    return d.repartitionByRange(p, "__u", "unit").sortWithinPartitions("__u", "unit").drop("__u")
-
-
 def linked_classes(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """From ``root, h1, n, grams``: ``h1, links`` (documents of linked classes) and ``h1, other`` (a forest)."""
     units = spread(unit_rows(members.select("root", "h1", "n", "grams"), "root", "h1", block))
@@ -268,13 +203,5 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     groups = cut(candidate_groups(classes))
     wanted = classes.select("h1", "rep", "n").join(groups.withColumnRenamed("node", "h1"), "h1")
     found = cut(linked_classes(cut(gram_sets(docs, wanted, n)), threshold, block))
-    trees = components(found.where("other is not null"), "h1", "other")
-    links = found.where("links is not null").groupBy("h1").agg(F.sum("links").alias("links"))
-    c = classes.select("h1", "rep", "n").join(links, "h1", "left").join(trees.withColumnRenamed("node", "h1"), "h1", "left")
-    c = cut(c.select("h1", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "h1").alias("root")))
-    least = cut(c.groupBy("root").agg(F.min("rep").alias("component_id")))
-    c = cut(c.join(least, "root").select("h1", "n_links", "component_id"))
-    some = sig.where("h1 is not null").select("doc_id", "h1", "h2").join(c, "h1")
-    none = sig.where("h1 is null").select("doc_id", "h1", "h2", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    out = some.select("doc_id", "h1", "h2", "n_links", "component_id").unionByName(none)
-    return out.select("doc_id", "n_links", "component_id", F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False)).alias("kept"), "h1", "h2")
+    out = settle(sig.select("doc_id", "h1", "h2"), "doc_id", classes.select("h1", "rep", "n"), found)
+    return out.select("doc_id", "n_links", "component_id", "kept", "h1", "h2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, secrets
+from . import covertree, jaccard, linededup, mixing, packing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_links", "component_id", "kept")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_dedup(_read(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(_read(spark, sf_dir, "documents")))
 
@@ -36,6 +44,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_mix_sources, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_mix_sources, op6_line_dedup, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
