@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, jaccard, langid, linededup, mixing, packing, quality, secrets
+from . import covertree, jaccard, langid, linededup, mixing, packing, pages, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "n_links", "component_id", "kept")
 
@@ -48,6 +52,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_mix_sources, op6_line_dedup, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_main_text, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_mix_sources, op6_line_dedup, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
