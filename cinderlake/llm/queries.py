@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, jaccard, langid, linededup, mixing, packing, pages, quality, secrets
+from . import covertree, jaccard, langid, linededup, mixing, packing, pages, pitmanyor, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *base, "base_failed", "rule", "kept")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(_read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_main_text, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_mix_sources, op6_line_dedup, op7_secret_scan, op8_quality_rules, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_html_main_text, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_mix_sources, op6_line_dedup, op7_secret_scan, op8_quality_rules, op9_lm_scores, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
