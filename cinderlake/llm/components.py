@@ -114,7 +114,9 @@ def spread(units: DataFrame) -> DataFrame:
 
 
 def settle(rows: DataFrame, id_col: str, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (with a class ``h1``, null for none) and ``n_links``, ``component_id``, ``kept``.
+    """``rows`` (with a class ``h1``, null for none) and ``n_links``, ``component_id``, ``group_id``, ``kept``.
+
+    ``group_id`` is the smallest class of the group, null without a class; it tells groups apart whose ids are all null.
 
     ``classes``: ``h1, rep`` (smallest id), ``n`` (rows). ``found``: ``h1, links`` rows with the rows of linked
     classes, to be summed, and ``h1, other`` rows, a forest of the links.
@@ -124,8 +126,8 @@ def settle(rows: DataFrame, id_col: str, classes: DataFrame, found: DataFrame) -
     c = classes.join(links, "h1", "left").join(trees.withColumnRenamed("node", "h1"), "h1", "left")
     c = cut(c.select("h1", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "h1").alias("root")))
     least = cut(c.groupBy("root").agg(F.min("rep").alias("component_id")))
-    c = cut(c.join(least, "root").select("h1", "n_links", "component_id"))  # a plain table: a hot class is split
+    c = cut(c.join(least, "root").select("h1", "n_links", "component_id", F.col("root").alias("group_id")))  # a plain table: a hot class is split
     some = rows.where("h1 is not null").join(c, "h1")
-    none = rows.where("h1 is null").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col(id_col))
+    none = rows.where("h1 is null").withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col(id_col)).withColumn("group_id", F.lit(None).cast("long"))
     out = some.select(*none.columns).unionByName(none)
     return out.withColumn("kept", F.coalesce(F.col(id_col).eqNullSafe(F.col("component_id")), F.lit(False)))

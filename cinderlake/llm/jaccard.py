@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, require
@@ -74,12 +74,12 @@ def set_hash(g: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, n: int = N, bands: int | None = None, rows: int = ROWS) -> DataFrame:
-    """``doc_id, h1, h2, bands``; nulls for texts without words."""
-    src = docs.select("doc_id", "text")
+    """``doc_id, text_hash, h1, h2, bands``; nulls for texts without words."""
+    src = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bands = bands or bands_for(rows=rows)
     r = np.random.default_rng(7)
     mul, add = (r.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, h1 bigint, h2 bigint, bands array<bigint>"
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash bigint, h1 bigint, h2 bigint, bands array<bigint>"
 
     def run(batches):
         for b in batches:
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, n: int = N, bands: int | None = None, rows: int
                         key[doc[first], k] = own
                 none = pa.array(~has)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (m + 1) * bands, bands, dtype=np.int32)), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(h.view(np.int64), mask=~has) for h in (h1, h2)), pa.compute.if_else(none, None, lists)], ["doc_id", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *(pa.array(h.view(np.int64), mask=~has) for h in (h1, h2)), pa.compute.if_else(none, None, lists)], ["doc_id", "text_hash", "h1", "h2", "bands"])
 
     return src.mapInArrow(run, schema)
 
@@ -192,7 +192,8 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """Per document ``doc_id, n_links, component_id, kept`` and its class (``h1, h2``; null without words).
+    """Per document ``doc_id, n_links, component_id, kept``, ``group_id`` (null without words) and ``text_hash``
+    (xxhash64 of the text, to tell rows of one id apart).
 
     ``n_links`` counts the other documents at or above the threshold, copies included; ``component_id`` is the
     smallest doc_id reachable by links; ``kept`` marks the documents with that id.
@@ -203,5 +204,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     groups = cut(candidate_groups(classes))
     wanted = classes.select("h1", "rep", "n").join(groups.withColumnRenamed("node", "h1"), "h1")
     found = cut(linked_classes(cut(gram_sets(docs, wanted, n)), threshold, block))
-    out = settle(sig.select("doc_id", "h1", "h2"), "doc_id", classes.select("h1", "rep", "n"), found)
-    return out.select("doc_id", "n_links", "component_id", "kept", "h1", "h2")
+    out = settle(sig.select("doc_id", "text_hash", "h1"), "doc_id", classes.select("h1", "rep", "n"), found)
+    return out.select("doc_id", "n_links", "component_id", "kept", "group_id", "text_hash")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the smallest id's (ties: the smallest text hash)."""
+    found = cut(jaccard_join(docs, **how))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("r")
+    one = found.where("n_links > 0").groupBy("group_id").agg(first).select("r.doc_id", "r.text_hash", F.lit(True).alias("__once"))
+    rest = found.where("n_links = 0").select("doc_id", "text_hash").distinct().withColumn("__once", F.lit(False))
+    stay = one.unionByName(rest).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__once")
+    d = docs.withColumn("__text", F.xxhash64("text"))
+    d = d.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
+    n = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__once"))
+    return d.withColumn("__n", n).where("__n = 1 OR NOT __once").select(*docs.columns)
