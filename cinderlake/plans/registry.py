@@ -1,4 +1,390 @@
-"""Registered queries of the geospatial operators, with the SQL that an independent engine runs for each."""
+"""Registered queries of the geospatial operators, with the SQL that an independent engine runs for each.
 
+The SQL is written on its own (unbanded joins, joined polygon edges, recursive closures), so that agreement says
+something about the operators. Doubles are rounded to 6 decimals in both. Queries with a random part have no SQL; tests hold
+their invariants.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.session import cut
+from ..operators import access, points as P, raster as R, scenes as S, stats
+from ..operators.nearby import anti_near
+from ..sources import fixtures as X
+
+DAY = "2024-01-16"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(x) -> F.Column:
+    return F.round(geo.col(x), 6)
+
+
+def _day(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"select date '{DAY}' as target_date")
+
+
+def _days(spark: SparkSession) -> DataFrame:
+    return spark.sql("select explode(sequence(date '2024-01-14', date '2024-01-18', interval 2 day)) as target_date")
+
+
+# ---- points ----
+
+_FRESH = f"""day AS (SELECT * FROM fires f WHERE acq_date = DATE '{DAY}' AND {X.inside_sql('f')}),
+fresh AS (SELECT * FROM day c WHERE NOT EXISTS (SELECT 1 FROM fires p WHERE p.acq_date >= DATE '{DAY}' - 15 AND p.acq_date < DATE '{DAY}' AND {X.km_sql('c', 'p')} <= 20)),
+q AS (SELECT quantile_cont(frp, 0.0) q0, quantile_cont(frp, 1/3) q1, quantile_cont(frp, 2/3) q2, quantile_cont(frp, 1.0) q3 FROM fresh),
+strata AS (SELECT f.*, CASE WHEN frp <= q1 THEN 'small' WHEN frp <= q2 THEN 'medium' ELSE 'large' END AS frp_bin FROM fresh f, q WHERE q0 < q1 AND q1 < q2 AND q2 < q3)"""
+
+
+def _fresh(spark, sf_dir):
+    fires, t = X.fires(spark, sf_dir), _day(spark)
+    return P.fresh(P.fires_of_day(fires, t, X.RING), fires, t)
+
+
+@query(f"WITH {X.FIRES_SQL}, {X.RING_SQL}, {_FRESH} SELECT event_id, frp_bin, frp, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY frp_bin ORDER BY frp DESC, event_id) n FROM strata) WHERE n = 1")
+def fresh_ignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = P.strata(_fresh(spark, sf_dir))
+    return P.best_per_group(rows, ["target_date", "frp_bin"], "frp").select("event_id", "frp_bin", "frp", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
+
+
+@query(f"WITH {X.FIRES_SQL}, {X.RING_SQL}, {_FRESH} SELECT event_id, frp_bin, frp FROM strata")
+def frp_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.strata(_fresh(spark, sf_dir))[0].select("event_id", "frp_bin", "frp")
+
+
+@query(f"""WITH {X.FIRES_SQL}, {X.RING_SQL}, q AS (SELECT acq_date AS target_date, count(*) AS n, quantile_cont(frp, [0.0, 1/3, 2/3, 1.0]) q FROM fires f WHERE {X.inside_sql('f')} AND event_id % 40 = 0 GROUP BY 1)
+SELECT target_date, n, CASE WHEN q[1] < q[2] AND q[2] < q[3] AND q[3] < q[4] THEN 'ok' ELSE 'no_strata' END AS status FROM q""")
+def strata_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.fires(spark, sf_dir).where(geo.in_ring("latitude", "longitude", X.RING)).where("event_id % 40 = 0").withColumnRenamed("acq_date", "target_date")
+    return P.strata(d)[1]
+
+
+@query(f"""WITH {X.FIRES_SQL} SELECT event_id, round({X.km_sql('f', "(SELECT 52.5::DOUBLE AS latitude, -101.25::DOUBLE AS longitude)").replace("(SELECT 52.5::DOUBLE AS latitude, -101.25::DOUBLE AS longitude).latitude", "52.5").replace("(SELECT 52.5::DOUBLE AS latitude, -101.25::DOUBLE AS longitude).longitude", "-101.25")}, 6) AS km,
+ round(latitude + 40*cos(0.7)/111.0, 6) AS to_lat, round(longitude + 40*sin(0.7)/(111.0*cos(latitude*pi()/180)), 6) AS to_lon,
+ CAST(CASE WHEN latitude >= 0 THEN 32600 ELSE 32700 END + floor((longitude + 180)/6) + 1 AS INT) AS epsg FROM fires f""")
+def geo_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = geo.offset("latitude", "longitude", 40.0, 0.7)
+    return X.fires(spark, sf_dir).select("event_id", r6(geo.haversine("latitude", "longitude", 52.5, -101.25)).alias("km"), r6(lat).alias("to_lat"), r6(lon).alias("to_lon"), geo.utm_epsg("latitude", "longitude").alias("epsg"))
+
+
+@query(f"""WITH {X.FIRES_SQL}, z AS (SELECT event_id, CAST(32600 + floor((longitude + 180)/6) + 1 AS INT) AS epsg, radians(latitude) AS p, radians(longitude - ((floor((longitude + 180)/6) + 1)*6 - 183)) AS l FROM fires),
+k AS (SELECT *, 0.00669437999014132::DOUBLE AS e2, 6378137.0::DOUBLE AS a FROM z),
+m AS (SELECT *, e2/(1 - e2) AS ep, a/sqrt(1 - e2*sin(p)*sin(p)) AS nn, tan(p)*tan(p) AS t, e2/(1 - e2)*cos(p)*cos(p) AS c, cos(p)*l AS aa,
+ a*((1 - e2/4 - 3*e2*e2/64 - 5*e2*e2*e2/256)*p - (3*e2/8 + 3*e2*e2/32 + 45*e2*e2*e2/1024)*sin(2*p) + (15*e2*e2/256 + 45*e2*e2*e2/1024)*sin(4*p) - (35*e2*e2*e2/3072)*sin(6*p)) AS mm FROM k)
+SELECT event_id, epsg, CAST(round((500000 + 0.9996*nn*(aa + (1 - t + c)*pow(aa,3)/6 + (5 - 18*t + t*t + 72*c - 58*ep)*pow(aa,5)/120))/10) AS BIGINT) AS x10,
+ CAST(round((0.9996*(mm + nn*tan(p)*(aa*aa/2 + (5 - t + 9*c + 4*c*c)*pow(aa,4)/24 + (61 - 58*t + t*t + 600*c - 330*ep)*pow(aa,6)/720)))/10) AS BIGINT) AS y10 FROM m""")
+def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTM coordinates to 10 m: the series here against the older power series in the SQL."""
+    d = X.fires(spark, sf_dir).withColumn("epsg", geo.utm_epsg("latitude", "longitude"))
+    x, y = geo.to_utm("latitude", "longitude", "epsg")
+    return d.select("event_id", "epsg", F.round(x / 10).cast("long").alias("x10"), F.round(y / 10).cast("long").alias("y10"))
+
+
+@query(f"WITH {X.FIRES_SQL}, {X.RING_SQL} SELECT event_id, acq_date FROM fires f WHERE {X.inside_sql('f')}")
+def country_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.fires(spark, sf_dir).where(geo.in_ring("latitude", "longitude", X.RING)).select("event_id", "acq_date")
+
+
+@query("SELECT make_date(y, m, d) AS target_date FROM range(2021, 2025) a(y), range(4, 12) b(m), (VALUES (1), (15)) c(d)")
+def target_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.calendar(spark, list(range(2021, 2025)), list(range(4, 12)), [1, 15])
+
+
+@query(f"WITH {X.FIRES_SQL} SELECT event_id, date_diff('day', (SELECT min(acq_date) FROM fires), acq_date) AS acq_date FROM fires")
+def day_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.day_offset(X.fires(spark, sf_dir)).select("event_id", F.col("acq_date").cast("long").alias("acq_date"))
+
+
+_CANDIDATES = "SELECT event_id, latitude + 0.3 + (event_id % 7)*0.07 AS latitude, longitude + 0.2 AS longitude FROM fires WHERE acq_date = DATE '2024-01-16'"
+
+
+@query(f"WITH {X.FIRES_SQL}, c AS ({_CANDIDATES}) SELECT event_id, round(latitude, 6) AS latitude FROM c WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE f.acq_date BETWEEN DATE '{DAY}' - 15 AND DATE '{DAY}' + 15 AND {X.km_sql('c', 'f')} <= 25)")
+def safe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fires, t = X.fires(spark, sf_dir), _day(spark)
+    c = fires.where(F.col("acq_date") == F.lit(DAY).cast("date")).select("event_id", (F.col("latitude") + 0.3 + (F.col("event_id") % 7) * 0.07).alias("latitude"), (F.col("longitude") + 0.2).alias("longitude"), F.lit(DAY).cast("date").alias("target_date"))
+    return P.safe(c, fires, t).select("event_id", r6("latitude").alias("latitude"))
+
+
+@query(f"WITH {X.FIRES_SQL}, w AS (SELECT * FROM fires WHERE acq_date BETWEEN DATE '{DAY}' - 15 AND DATE '{DAY}' + 15) SELECT a.event_id, round(min({X.km_sql('a', 'b')}), 6) AS km FROM fires a, w b WHERE a.acq_date = DATE '{DAY}' AND b.event_id <> a.event_id AND {X.km_sql('a', 'b')} <= 60 GROUP BY 1")
+def nearest_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the nearest other fire of the window, up to 60 km."""
+    fires, t = X.fires(spark, sf_dir), _day(spark)
+    a = fires.where(F.col("acq_date") == F.lit(DAY).cast("date")).select("event_id", "latitude", "longitude")
+    b = P.window_fires(fires, t).select(F.col("event_id").alias("other"), "latitude", "longitude")
+    return P.near_pairs(a, b, 60.0).where("other <> event_id").groupBy("event_id").agg(r6(F.min("km")).alias("km"))
+
+
+@query(f"WITH {X.FIRES_SQL} SELECT acq_date, event_id, bright_ti4 FROM (SELECT *, row_number() OVER (PARTITION BY acq_date ORDER BY bright_ti4 DESC, event_id) n FROM fires) WHERE n = 1")
+def brightest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.best_per_group(X.fires(spark, sf_dir), ["acq_date"], "bright_ti4").select("acq_date", "event_id", "bright_ti4")
+
+
+@query(f"WITH {X.FIRES_SQL}, t AS (SELECT DATE '2024-01-01' + CAST(i*5 AS INT) AS target_date FROM range(0, 8) r(i)) SELECT target_date, coalesce(CAST(trunc(median(acq_time)) AS INT), 1900) AS median_time FROM t LEFT JOIN fires ON acq_date = target_date AND event_id % 20 = 0 GROUP BY 1")
+def median_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.sql("select date_add(date '2024-01-01', cast(id*5 as int)) as target_date from range(0, 8)")
+    return P.median_time(X.fires(spark, sf_dir).where("event_id % 20 = 0").withColumnRenamed("acq_date", "target_date"), t)
+
+
+@query(f"""WITH RECURSIVE {X.FIRES_SQL}, d AS (SELECT * FROM fires WHERE acq_date = DATE '{DAY}'),
+n AS (SELECT a.event_id AS a, b.event_id AS b FROM d a, d b WHERE {X.km_sql('a', 'b')} <= 0.012*6371.0),
+core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5),
+reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b WHERE n.b IN (SELECT a FROM core)),
+lab AS (SELECT a, min(b) AS label FROM reach GROUP BY a),
+own AS (SELECT d.event_id, coalesce((SELECT label FROM lab WHERE lab.a = d.event_id), (SELECT min(label) FROM lab JOIN n ON n.b = lab.a WHERE n.a = d.event_id)) AS label FROM d)
+SELECT event_id, CAST(CASE WHEN label IS NULL THEN 100000 + row_number() OVER (PARTITION BY label IS NULL ORDER BY event_id) - 1 ELSE dense_rank() OVER (PARTITION BY label IS NULL ORDER BY label) - 1 END AS INT) AS cluster_id FROM own""")
+def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dbscan(P.fires_of_day(X.fires(spark, sf_dir), _day(spark))).select("event_id", "cluster_id")
+
+
+@query()
+def positive_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.positives(X.fires(spark, sf_dir), _days(spark), X.RING)[0].select("target_date", *P.POINT)
+
+
+@query()
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fires, t = X.fires(spark, sf_dir), _days(spark)
+    pos = cut(P.positives(fires, t, X.RING)[0])
+    return P.negatives(pos, fires, t, X.RING, X.LAT_RANGE, X.LON_RANGE).where("kind = 0").select("target_date", *P.POINT)
+
+
+@query()
+def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fires, t = X.fires(spark, sf_dir), _days(spark)
+    pos = cut(P.positives(fires, t, X.RING)[0])
+    return P.negatives(pos, fires, t, X.RING, X.LAT_RANGE, X.LON_RANGE).where("kind = 1").select("target_date", *P.POINT)
+
+
+@query()
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.labelled_dataset(X.fires(spark, sf_dir), _days(spark), X.RING, X.LAT_RANGE, X.LON_RANGE)[0]
+
+
+@query()
+def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.thin(X.points(spark, sf_dir), 20.0, 15).select("event_id", "acq_date", "is_fire")
+
+
+@query(f"WITH {X.FIRES_SQL} SELECT a.event_id, count(*) AS n FROM fires a JOIN fires b ON a.event_id <> b.event_id AND abs(date_diff('day', a.acq_date, b.acq_date)) <= 15 AND {X.km_sql('a', 'b')} < 20 GROUP BY 1")
+def conflict_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.conflicts(X.fires(spark, sf_dir), 20.0, 15).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {X.FIRES_SQL} SELECT event_id FROM fires a WHERE acq_date = DATE '{DAY}' AND NOT EXISTS (SELECT 1 FROM fires b WHERE b.acq_date = DATE '{DAY}' - 1 AND {X.km_sql('a', 'b')} < 35)")
+def quiet_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict form of the distance anti join, on one side of the date."""
+    f = X.fires(spark, sf_dir)
+    a, b = (f.where(F.col("acq_date") == F.date_sub(F.lit(DAY).cast("date"), k)) for k in (0, 1))
+    return anti_near(a.select("event_id", "latitude", "longitude"), b.select("latitude", "longitude"), 35.0, False).select("event_id")
+
+
+# ---- statistics ----
+
+
+@query(f"""WITH {X.FIRES_SQL}, p AS (SELECT a.event_id a, b.event_id b, sqrt(pow(a.longitude - b.longitude, 2) + pow(a.latitude - b.latitude, 2)) d, abs(date_diff('day', a.acq_date, b.acq_date)) t FROM fires a JOIN fires b ON a.event_id < b.event_id),
+g AS (SELECT * FROM (VALUES (10.0::DOUBLE), (12.0::DOUBLE), (15.0::DOUBLE)) s(ds), (VALUES (7), (15), (30)) u(dt)),
+o AS (SELECT ds, dt, count(*) FILTER (d <= ds AND t <= dt) AS observed, count(*) FILTER (d <= ds) AS close_s, count(*) FILTER (t <= dt) AS close_t, count(*) AS n FROM g, p GROUP BY 1, 2)
+SELECT ds, dt, observed, round(close_s::DOUBLE*close_t/n, 1) AS expected, round(observed/(close_s::DOUBLE*close_t/n), 4) AS ratio, CASE WHEN observed/(close_s::DOUBLE*close_t/n) BETWEEN 0.9 AND 1.1 THEN 'PASSED' ELSE 'FAILED' END AS status FROM o""")
+def knox_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.knox(X.fires(spark, sf_dir)).select("ds", "dt", "observed", F.round("expected", 1).alias("expected"), F.round("ratio", 4).alias("ratio"), "status")
+
+
+@query()
+def knox_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.knox_report(X.fires(spark, sf_dir))
+
+
+_ORDER = "((event_id*7919 + iter*104729) % 100003)"
+_MORAN = f"""s AS (SELECT * FROM (SELECT p.*, iter, row_number() OVER (PARTITION BY iter ORDER BY {_ORDER}, event_id) n FROM points p, range(0, 4) r(iter)) WHERE n <= 150),
+z AS (SELECT *, is_fire - avg(is_fire) OVER (PARTITION BY iter) AS z FROM s),
+k AS (SELECT a.iter, a.event_id a, b.z zb, row_number() OVER (PARTITION BY a.iter, a.event_id ORDER BY pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2), b.event_id) n FROM z a JOIN z b ON a.iter = b.iter AND a.event_id <> b.event_id),
+l AS (SELECT iter, a, avg(zb) lag FROM k WHERE n <= 5 GROUP BY 1, 2),
+m AS (SELECT z.iter, sum(z.z*l.lag)/sum(z.z*z.z) AS i FROM z JOIN l ON z.iter = l.iter AND z.event_id = l.a GROUP BY 1)"""
+
+
+def _order():
+    return (F.col("event_id") * 7919 + F.col("iter") * 104729) % 100003
+
+
+@query(f"WITH {X.POINTS_SQL}, {_MORAN} SELECT iter, round(i, 6) AS moran_i FROM m")
+def moran_i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats.subsets(X.points(spark, sf_dir), 150, 4, _order())
+    return stats.morans_i(s).select(F.col("iter").cast("long").alias("iter"), r6("moran_i").alias("moran_i"))
+
+
+@query(f"WITH {X.POINTS_SQL}, {_MORAN} SELECT event_id, is_fire FROM s WHERE iter = (SELECT iter FROM m ORDER BY abs(i), iter LIMIT 1)")
+def moran_best_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.best_subset(X.points(spark, sf_dir), 150, 4, order=_order())[0].select("event_id", "is_fire")
+
+
+@query(f"WITH {X.DEM_SQL} SELECT scene_id, round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(quantile_cont(z, 0.99), 6) AS p99, round(sum(z), 6) AS sum, round(avg(CASE WHEN z > 25 THEN 1.0 ELSE 0.0 END), 6) AS share_above, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf FROM dem GROUP BY 1")
+def layer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stats.layer_stats(X.dem(spark, sf_dir), "z", ["scene_id"], 25.0)
+    return s.select("scene_id", *(r6(c).alias(c) for c in ("min", "max", "mean", "median", "p99", "sum", "share_above")), "n_nan", "n_inf")
+
+
+# ---- scenes ----
+
+_T0 = "t0 AS (SELECT * FROM (SELECT t.target_id, t.tile, t.ts AS t_ts, c.item_id, c.ts, row_number() OVER (PARTITION BY target_id ORDER BY c.ts DESC, c.item_id) n FROM targets t JOIN catalog c ON c.tile = t.tile AND c.cloud_cover < 20 AND c.ts BETWEEN t.ts - INTERVAL 15 DAY AND t.ts) WHERE n = 1)"
+
+
+@query(f"WITH {X.CATALOG_SQL}, {_T0} SELECT target_id, item_id, ts FROM t0")
+def asof_optical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.newest_before(X.scene_targets(spark, sf_dir), X.catalog(spark, sf_dir)).select("target_id", "item_id", "ts")
+
+
+@query(f"WITH {X.CATALOG_SQL}, {_T0} SELECT target_id, item_id, ts FROM (SELECT t.target_id, c.item_id, c.ts, row_number() OVER (PARTITION BY target_id ORDER BY c.ts DESC, c.item_id) n FROM t0 t JOIN catalog c ON c.tile = t.tile AND c.cloud_cover < 20 AND c.ts BETWEEN t.ts - INTERVAL 35 DAY AND t.ts - INTERVAL 10 DAY) WHERE n = 1")
+def asof_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.catalog(spark, sf_dir)
+    return S.previous(S.newest_before(X.scene_targets(spark, sf_dir), c), c).select("target_id", "item_id", "ts")
+
+
+_SAR = "(SELECT * FROM catalog WHERE item_id % 3 = 0)"
+
+
+@query(f"WITH {X.CATALOG_SQL}, {_T0} SELECT target_id, item_id, ts FROM (SELECT t.target_id, c.item_id, c.ts, row_number() OVER (PARTITION BY target_id ORDER BY abs(epoch(c.ts) - epoch(t.ts)), c.item_id) n FROM t0 t JOIN {_SAR} c ON c.tile = t.tile AND c.ts BETWEEN t.ts - INTERVAL 10 DAY AND t.ts + INTERVAL 10 DAY) WHERE n = 1")
+def sar_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.catalog(spark, sf_dir)
+    return S.nearest_in_window(S.newest_before(X.scene_targets(spark, sf_dir), c), c.where("item_id % 3 = 0")).select("target_id", "item_id", "ts")
+
+
+@query(f"""WITH {X.CATALOG_SQL}, {_T0}, p AS (SELECT target_id, item_id FROM (SELECT t.target_id, c.item_id, row_number() OVER (PARTITION BY target_id ORDER BY c.ts DESC, c.item_id) n FROM t0 t JOIN catalog c ON c.tile = t.tile AND c.cloud_cover < 20 AND c.ts BETWEEN t.ts - INTERVAL 35 DAY AND t.ts - INTERVAL 10 DAY) WHERE n = 1),
+s AS (SELECT target_id, item_id FROM (SELECT t.target_id, c.item_id, row_number() OVER (PARTITION BY target_id ORDER BY abs(epoch(c.ts) - epoch(t.ts)), c.item_id) n FROM t0 t JOIN {_SAR} c ON c.tile = t.tile AND c.ts BETWEEN t.ts - INTERVAL 10 DAY AND t.ts + INTERVAL 10 DAY) WHERE n = 1)
+SELECT t0.target_id, t0.item_id AS t0_item, p.item_id AS prev_item, s.item_id AS sar_item FROM t0 LEFT JOIN p USING (target_id) LEFT JOIN s USING (target_id)""")
+def scene_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.catalog(spark, sf_dir)
+    return S.match_scenes(X.scene_targets(spark, sf_dir), c, c.where("item_id % 3 = 0")).select("target_id", "t0_item", "prev_item", "sar_item")
+
+
+_IMAGES = "SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 2 = 0 THEN 'primary' ELSE 'fallback' END AS collection, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders WHERE o_orderkey % 2 = 1 OR o_orderdate < DATE '1997-01-01'"
+
+
+@query(f"""WITH i AS ({_IMAGES}), t AS (SELECT *, CASE WHEN year(ts) = 1998 THEN CASE WHEN collection = 'primary' THEN 1 ELSE 2 END WHEN collection = 'fallback' THEN 3 END AS tier FROM i)
+SELECT image_id, tier FROM t WHERE tier = (SELECT min(tier) FROM t) AND (tier < 3 OR (ts, image_id) = (SELECT (ts, image_id) FROM t WHERE tier = 3 ORDER BY ts DESC, image_id DESC LIMIT 1))""")
+def source_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = X.table(spark, sf_dir, "orders").selectExpr("o_orderkey as image_id", "if(o_orderkey % 2 = 0, 'primary', 'fallback') as collection", "o_orderdate as ts").where("image_id % 2 = 1 or ts < date '1997-01-01'")
+    return S.cascade(o, 1998).select("image_id", "tier")
+
+
+_SOIL_DAYS = ["2024-01-10", "2024-01-31", "2024-02-02", "2024-03-01"]
+
+
+@query(f"""WITH h AS (SELECT date_trunc('hour', ts) AS ts, user_id % 16 AS cell, value/1000 AS value FROM events), t AS (SELECT unnest([{", ".join(f"DATE '{d}'" for d in _SOIL_DAYS)}]) AS target_date),
+a AS (SELECT target_date, cell, avg(value) v FROM t JOIN h ON h.ts >= target_date AND h.ts < target_date + INTERVAL 1 DAY GROUP BY 1, 2),
+b AS (SELECT target_date, cell, avg(value) v FROM t JOIN h ON h.ts >= target_date - INTERVAL 5 DAY AND h.ts < target_date + INTERVAL 1 DAY WHERE target_date NOT IN (SELECT target_date FROM a) GROUP BY 1, 2),
+u AS (SELECT *, 'day' AS origin FROM a UNION ALL SELECT *, 'recent' FROM b UNION ALL SELECT target_date, NULL, 0.25, 'constant' FROM t WHERE target_date NOT IN (SELECT target_date FROM a UNION SELECT target_date FROM b))
+SELECT target_date, cell, round(least(greatest(v, 0.01), 0.75), 6) AS value, origin FROM u""")
+def soil_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame([(d,) for d in _SOIL_DAYS], "d string").select(F.to_date("d").alias("target_date"))
+    return S.daily_layer(X.soil(spark, sf_dir), t).select("target_date", "cell", r6("value").alias("value"), "origin")
+
+
+# ---- rasters ----
+
+
+@query(f"""WITH {X.DEM_SQL}, g AS (SELECT scene_id, "row", col, z,
+ (coalesce(lead(z) OVER v, z) - coalesce(lag(z) OVER v, z))/((CASE WHEN lag(z) OVER v IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER v IS NULL THEN 0 ELSE 1 END)*10.0) AS s,
+ (coalesce(lead(z) OVER h, z) - coalesce(lag(z) OVER h, z))/((CASE WHEN lag(z) OVER h IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER h IS NULL THEN 0 ELSE 1 END)*10.0) AS e
+ FROM dem WINDOW v AS (PARTITION BY scene_id, col ORDER BY "row"), h AS (PARTITION BY scene_id, "row" ORDER BY col))
+SELECT scene_id, "row", col, round(z, 6) AS elevation, round(degrees(atan(sqrt(e*e + s*s))), 6) AS slope, round(CASE WHEN degrees(atan(sqrt(e*e + s*s))) < 0.1 THEN 0 ELSE s/sqrt(e*e + s*s) END, 6) AS northness, round(CASE WHEN degrees(atan(sqrt(e*e + s*s))) < 0.1 THEN 0 ELSE -e/sqrt(e*e + s*s) END, 6) AS eastness FROM g""")
+def terrain_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.terrain(X.dem(spark, sf_dir)).select(*R.CELL, *(r6(c).alias(c) for c in ("elevation", "slope", "northness", "eastness")))
+
+
+_SRC, _DST = [10.0, 0.0, 0.0, 0.0, -10.0, 500.0], [7.0, 0.0, 31.3, 0.0, -7.0, 472.9]
+_GRID = 'g AS (SELECT 0 AS scene_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, (31.3 + 7.0*(c + 0.5))/10.0 AS u, (500.0 - (472.9 - 7.0*(r + 0.5)))/10.0 AS v FROM range(0, 40) a(r), range(0, 50) b(c))'
+
+
+@query(f'WITH {X.DEM_SQL}, {_GRID} SELECT g.scene_id, g."row", g.col, round(coalesce(d.z, -1), 6) AS z FROM g LEFT JOIN dem d ON d."row" = floor(v) AND d.col = floor(u)')
+def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.dem(spark, sf_dir)
+    t = R.target_cells(d.select("scene_id").limit(1), 40, 50)
+    return R.resample(d, t, _SRC, _DST, "nearest", "z", -1.0).select(*R.CELL, r6("z").alias("z"))
+
+
+@query(f"""WITH {X.CELLS_SQL}, {_GRID}, k AS (SELECT g.*, d.z, greatest(0, 1 - abs(v - 0.5 - d."row"))*greatest(0, 1 - abs(u - 0.5 - d.col)) AS w FROM g LEFT JOIN cells d ON abs(v - 0.5 - d."row") < 1 AND abs(u - 0.5 - d.col) < 1 AND NOT isnan(d.z))
+SELECT scene_id, "row", col, round(CASE WHEN sum(w) > 0 THEN sum(w*z)/sum(w) ELSE -1 END, 6) AS z FROM k GROUP BY 1, 2, 3""")
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.scene_cells(spark, sf_dir)
+    t = R.target_cells(d.select("scene_id").limit(1), 40, 50)
+    return R.resample(d, t, _SRC, _DST, "bilinear", "z", -1.0).select(*R.CELL, r6("z").alias("z"))
+
+
+@query(f'WITH {X.CELLS_SQL} SELECT scene_id, "row", col, CASE WHEN bridge = 1 THEN 1 WHEN water = 1 OR scl = 6 OR isnan(z) THEN 0 ELSE 1 END AS passable FROM cells')
+def passability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.passability(X.scene_cells(spark, sf_dir)).select(*R.CELL, "passable")
+
+
+_AFFINE = [0.5, 0.0, -140.0, 0.0, -0.5, 70.0]
+
+
+@query(f'WITH {X.FIRES_SQL} SELECT DISTINCT 0 AS scene_id, CAST(floor((latitude - 70)/-0.5) AS INT) AS "row", CAST(floor((longitude + 140)/0.5) AS INT) AS col FROM fires WHERE floor((latitude - 70)/-0.5) BETWEEN 0 AND 47 AND floor((longitude + 140)/0.5) BETWEEN 0 AND 135')
+def rasterize_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.fires(spark, sf_dir).select(F.lit(0).alias("scene_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return R.rasterize_points(p, _AFFINE, 48, 136)
+
+
+@query(f'WITH {X.RING_SQL}, g AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, 70 - 0.5*(r + 0.5) AS latitude, -140 + 0.5*(c + 0.5) AS longitude FROM range(0, 48) a(r), range(0, 136) b(c)) SELECT 0 AS scene_id, "row", col FROM g WHERE {X.inside_sql("g")}')
+def rasterize_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame([(0, 0, *a, *b) for a, b in zip(X.RING, X.RING[1:] + X.RING[:1], strict=True)], "scene_id int, feature_id int, x1 double, y1 double, x2 double, y2 double")
+    return R.rasterize_polygons(e, _AFFINE, 48, 136)
+
+
+@query(f'WITH {X.CELLS_SQL} SELECT a.scene_id, a."row", a.col, round(min(sqrt(pow(a."row" - b."row", 2) + pow(a.col - b.col, 2)))*10.0, 6) AS distance_m FROM cells a, cells b WHERE (b."row"*31 + b.col*17) % 97 = 3 GROUP BY 1, 2, 3')
+def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.scene_cells(spark, sf_dir)
+    return R.distance(d, d.where("(row*31 + col*17) % 97 = 3")).select(*R.CELL, r6("distance_m").alias("distance_m"))
+
+
+def _reflect_sql(x: str, n: str) -> str:
+    m = f"((({x}) % (2*({n} - 1)) + 2*({n} - 1)) % (2*({n} - 1)))"
+    return f"least({m}, 2*({n} - 1) - {m})"
+
+
+@query(f"""WITH {X.POPULATION_SQL}, s AS (SELECT max("row") + 1 AS n, max(col) + 1 AS m FROM population), k AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(-4, 5) a(i), range(-4, 5) b(j)),
+c AS (SELECT p.scene_id, p."row", p.col, k.i, k.j, greatest(q.value, 0) AS v FROM population p, k, s JOIN population q ON q."row" = {_reflect_sql('p."row" + k.i', 's.n')} AND q.col = {_reflect_sql('p.col + k.j', 's.m')}),
+b AS (SELECT scene_id, "row", col, 0.75*sum(CASE WHEN abs(i) <= 3 AND abs(j) <= 3 THEN exp(-sqrt(i*i + j*j)*100.0/8000)*v ELSE 0 END) + 0.25*sum(pow(1 + sqrt(i*i + j*j)*100.0/30000, -2)*v) AS blend FROM c GROUP BY 1, 2, 3)
+SELECT scene_id, "row", col, round(greatest(ln(1 + blend)/ln(1000001.0), 0.001), 6) AS pressure FROM b""")
+def population_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.population_pressure(X.population(spark, sf_dir), short_px=3, long_px=4).select(*R.CELL, r6("pressure").alias("pressure"))
+
+
+@query()
+def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = R.passability(X.scene_cells(spark, sf_dir)).withColumn("source", F.col("road"))
+    return access.travel_time(c).select(*R.CELL, r6("hours").alias("hours"), "reachable")
+
+
+@query()
+def master_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.fires(spark, sf_dir).where("event_id % 50 = 0")
+    return d.select("event_id", geo.master_grid("latitude", "longitude").alias("grid")).select("event_id", "grid.epsg", "grid.bbox")
+
+
+@query(f'WITH {X.DEM_SQL} SELECT scene_id, "row", col, round(coalesce(least(greatest(z*100/3000, 0), 1), 0), 6) AS v FROM dem WHERE "row" % 4 = 0 AND col % 4 = 0')
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretched and strided preview of a layer."""
+    return R.stride(X.dem(spark, sf_dir)).select(*R.CELL, r6(geo.rgb_stretch(F.col("z") * 100)).alias("v"))
+
+
+@query(f"""WITH {X.DEM_SQL}, t AS (SELECT scene_id, "row", col, k AS tile_seq, CASE WHEN ("row" + col + k) % 3 = 0 THEN NULL ELSE z + k END AS value FROM dem, range(0, 3) r(k))
+SELECT scene_id, "row", col, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, "row", col ORDER BY tile_seq) n FROM t WHERE value IS NOT NULL) WHERE n = 1""")
+def dem_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.dem(spark, sf_dir).withColumn("tile_seq", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    t = t.withColumn("value", F.when((F.col("row") + F.col("col") + F.col("tile_seq")) % 3 != 0, F.col("z") + F.col("tile_seq")))
+    return R.mosaic(t).select(*R.CELL, r6("value").alias("value"))
