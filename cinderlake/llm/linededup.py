@@ -91,7 +91,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_spread: float
     fewest = F.least("site", "context")
     sure = (fewest >= min_sites * (1 + error) + 1) & (F.col("context") >= F.col("copy") * min_spread * (1 + 2 * error) + 1)
     out = (fewest < min_sites * (1 - error) - 1) | (F.col("context") < F.col("copy") * min_spread * (1 - 2 * error) - 1)
-    near = some.join(e.where(~sure & ~out).select("line"), "line", "left_semi")
+    # a table of its own: grouping right after the join would keep a very common line in one task
+    near = cut(some.join(e.where(~sure & ~out).select("line"), "line", "left_semi"))
     exact = None
     for c in ("site", "copy", "context"):  # each by two pre-aggregated steps, so that a very common line is no hot group
         n = near.groupBy("line", c).agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias(c))
