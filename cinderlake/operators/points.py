@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions.geo import EARTH_KM, in_ring, offset, unit_hash
-from ..functions.session import cut
+from ..functions.session import cut, ship
 from .graph import first_independent_set, min_labels
 from .nearby import anti_near, near_pairs
 
@@ -138,6 +138,7 @@ def diverse_sample(df: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
         pdf = pdf.assign(__own=own).sort_values(["frp", "event_id"], ascending=[False, True], kind="stable")
         return pdf.drop_duplicates("__own").drop(columns="__own").sort_values("event_id")
 
+    ship(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(pick, df.schema)
 
 
@@ -206,6 +207,7 @@ def accept_spaced(candidates: DataFrame, spacing_km: float = 15.0, n_random: int
         out["latitude"], out["longitude"] = lats, lons
         return out
 
+    ship(candidates.sparkSession)
     return candidates.groupBy("target_date").applyInPandas(fold, candidates.schema)
 
 
