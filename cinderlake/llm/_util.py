@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import ship
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
@@ -52,6 +54,8 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def require(df: DataFrame, *names: str) -> None:
+    """Fail early on missing columns, and see to it that Python workers find this package."""
+    ship(df.sparkSession)
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")

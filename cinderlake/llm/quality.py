@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._util import require
 from ._words import U, mix, texts
 
 #: Rows of the label table that a fit reads at most (by smallest hash of the id): the documented bound.
@@ -67,6 +68,7 @@ def _stats(col: pa.Array) -> dict[str, np.ndarray]:
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, plus a struct ``stats`` of COUNTS (all long). One pass, no shuffle."""
+    require(docs, text_col)
     rest = [c for c in docs.columns if c not in (text_col, "stats")]
     kind = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("stats", kind, False)])
@@ -82,6 +84,7 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """As :func:`text_stats`, and the text stays."""
+    require(docs, text_col)
     docs = docs.drop("stats")
     schema = T.StructType([*docs.schema.fields, T.StructField("stats", T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS]), False)])
 
