@@ -15,6 +15,7 @@ from ..functions.session import cut
 from ..operators import access, points as P, raster as R, scenes as S, stats
 from ..operators.nearby import anti_near
 from ..sources import fixtures as X
+from . import scene_layers
 
 DAY = "2024-01-16"
 QUERIES: dict = {}
@@ -388,3 +389,23 @@ def dem_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.dem(spark, sf_dir).withColumn("tile_seq", F.explode(F.sequence(F.lit(0), F.lit(2))))
     t = t.withColumn("value", F.when((F.col("row") + F.col("col") + F.col("tile_seq")) % 3 != 0, F.col("z") + F.col("tile_seq")))
     return R.mosaic(t).select(*R.CELL, r6("value").alias("value"))
+
+
+def _masks(cells: DataFrame) -> dict[str, DataFrame]:
+    return {n: cells.where(c) for n, c in {"water": "water = 1", "bridges": "bridge = 1", "roads": "road = 1", "trails": "row = 30 and col % 5 <> 0", "railways": "(row*31 + col*17) % 97 = 3", "power": "row = col"}.items()}
+
+
+@query()
+def static_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine layers of a 24 x 24 window inside the lattice, buffered by 8 cells."""
+    c = X.scene_cells(spark, sf_dir)
+    scl = c.where("row between 8 and 31 and col between 8 and 31").selectExpr("scene_id", "row - 8 as row", "col - 8 as col", "scl")
+    d = scene_layers.static_layers(c, _masks(c), scl, 8, 24, tiles=True)
+    return d.select(*R.CELL, *(r6(n).alias(n) for n in scene_layers.STATIC))
+
+
+@query(f'WITH {X.POPULATION_SQL}, {_GRID} SELECT g.scene_id, g."row", g.col, round(ln(1 + greatest(coalesce(p.value, 0), 0)), 6) AS value FROM g LEFT JOIN population p ON p."row" = floor(v) AND p.col = floor(u)')
+def raw_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.population(spark, sf_dir)
+    t = R.target_cells(p.select("scene_id").limit(1), 40, 50)
+    return scene_layers.raw_population(p, t, _SRC, _DST, True).select(*R.CELL, r6("value").alias("value"))
