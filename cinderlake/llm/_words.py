@@ -7,7 +7,7 @@ every machine; they stand for the word itself (no per-word Python object is ever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,21 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
+#: What other operators keep in this worker process between tasks: functions that let it go.
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(release: Callable[[], None]) -> None:
+    """Register memory that a worker keeps between tasks; it is released when the worker turns to other work."""
+    if release not in _kept:
+        _kept.append(release)
+
+
+def let_go() -> None:
+    while _kept:
+        _kept.pop()()
+
+
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         if n > 1 << 23:  # one huge text: not kept
@@ -152,6 +167,7 @@ class Words:
 
 
 def texts(col: pa.Array, target: int = 1 << 20, fold: bool = False) -> Iterator[tuple[int, int, Words]]:
+    let_go()
     offsets, data = buffers(col)
     for i, j in pieces(offsets, target):
         o = offsets[i : j + 1]

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, require
-from ._words import buffers, pieces as ranges
+from ._words import buffers, keeps
+from ._words import pieces as ranges
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -128,9 +129,11 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process, kept between tasks."""
+    """One per worker process, kept between tasks until the worker turns to another operator."""
     if path not in _known:
+        _known.clear()
         _known[path] = Encoder(path)
+    keeps(_known.clear)
     return _known[path]
 
 
