@@ -38,7 +38,7 @@ from ._words import pieces as ranges
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Distinct words in one generation of a worker's memory (results do not depend on it).
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 _known: dict[str, tuple] = {}
 
 
