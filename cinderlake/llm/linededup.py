@@ -3,7 +3,7 @@
 Every line of at least ``min_words`` words is hashed; HyperLogLog sketches per line hash (of sites, of distinct texts
 and of contexts) merge by aggregation. Lines whose estimate lies near a limit get exact distinct counts. A line is
 boilerplate if it stands on at least ``min_sites`` sites and in enough different surroundings: a line's context is
-the smallest hash among the rest of its text, and contexts must be at least ``min_sites`` and at least ``min_spread`` of
+the smallest 6-gram hash among the rest of its text (unrelated texts share few, however many they are), and contexts must be at least ``min_sites`` and at least ``min_spread`` of
 the distinct texts that hold the line. So lines of copied or nearly copied documents, whose surroundings are copied too, stay; whole
 documents are for the near-duplicate operator. Boilerplate is deleted from every text.
 
@@ -24,6 +24,8 @@ from ._util import cut, require
 from ._words import U, Words, mix, texts
 
 MIN_WORDS, MIN_SITES, MIN_SPREAD, LG_K = 4, 5, 0.3, 12
+#: Words of the n-grams that contexts are taken from: too long to be shared by chance, short enough to survive edits of a copy.
+GRAM = 6
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -37,16 +39,22 @@ def line_hashes(w: Words) -> tuple[np.ndarray, ...]:
 
 
 def contexts(w: Words, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per line: the smallest word-pair hash among the other lines of its text (all ones if there is none)."""
+    """Per line: the smallest n-gram hash among the other lines of its text (all ones if there is none). A line of fewer
+    than GRAM words is one n-gram; no other part of a line is, for texts have short parts in common by chance."""
     if not len(doc):
         return np.zeros(0, U)
     h = w.hash
-    line = np.zeros(len(h), bool)
-    line[first] = True
-    pair = h.copy()
-    same = ~line[1:]
-    pair[:-1][same] = mix(h[:-1][same] * U(0xD6E8FEB86659FD93) + h[1:][same])
-    low = np.minimum.reduceat(pair, first)
+    n = len(h)
+    line = np.zeros(n, np.int64)
+    line[first[1:]] = 1
+    line = np.cumsum(line)
+    gram, whole = h.copy(), np.zeros(n, bool)
+    for k in range(1, GRAM):
+        same = np.flatnonzero(line[k:] == line[: n - k])
+        gram[same] = mix(gram[same] * U(0xD6E8FEB86659FD93) + h[same + k])
+    whole[: max(n - GRAM + 1, 0)] = line[GRAM - 1 :] == line[: max(n - GRAM + 1, 0)]
+    whole[first] = True
+    low = np.minimum.reduceat(np.where(whole, gram, _TOP), first)
     order = np.lexsort((low, doc))
     d, v = doc[order], low[order]
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])])  # distinct values of each text

@@ -106,3 +106,15 @@ def test_documents(spark):
     got = sorted(((str(r.doc_id), r.text) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=str)
     want, bad = brute(spark, rows)
     assert bad and got == want
+
+
+def test_contexts_of_many_unrelated_texts_stay_apart(spark):
+    """A line on all sites goes, however many texts hold it, also where the texts have all word pairs in common."""
+    r = random.Random(3)
+    vocabulary = [f"w{x}" for x in range(20)]
+    boiler = "All rights reserved by the owner."
+    rows = [(i, "\n".join([" ".join(r.choices(vocabulary, k=12)) for _ in range(6)] + [boiler]), "en", f"s{i % 9}", 1) for i in range(1500)]
+    lines = linededup.line_rows(frame(spark, rows), "source", 4)
+    got = {r.line: r for r in linededup.boilerplate(lines).collect()}
+    assert len(got) == 1 and all(r.contexts > 0.9 * r.texts for r in got.values())
+    assert all(boiler not in r.text for r in linededup.dedup_lines(frame(spark, rows)).collect())
