@@ -33,7 +33,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

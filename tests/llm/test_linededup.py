@@ -4,7 +4,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from cinderlake.llm import linededup
+import corpus_pipeline
+from cinderlake.llm import linededup, queries
 from cinderlake.llm._words import texts
 
 from .helpers import awkward, frame, words
@@ -118,3 +119,15 @@ def test_contexts_of_many_unrelated_texts_stay_apart(spark):
     got = {r.line: r for r in linededup.boilerplate(lines).collect()}
     assert len(got) == 1 and all(r.contexts > 0.9 * r.texts for r in got.values())
     assert all(boiler not in r.text for r in linededup.dedup_lines(frame(spark, rows)).collect())
+
+
+def test_query_and_pipeline_count_short_lines(spark, tmp_path):
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    rows = [(i, "\n".join([line(), line(), "All rights reserved." if i % 2 else line(), "Home" if i % 3 else line(), "rare" if i % 30 == 0 else line()]), "en", f"s{i % 9}", 1) for i in range(60)]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op6_line_dedup(spark, str(tmp_path)), corpus_pipeline.line_dedup(spark, docs, str(tmp_path))):
+        texts_of = [x.text.split("\n") for x in got.collect()]
+        assert len(texts_of) == 60 and not any("All rights reserved." in t or "Home" in t for t in texts_of)
+        assert sum("rare" in t for t in texts_of) == 2
