@@ -4,7 +4,7 @@ Pages of a host are put in order of URL path; each page is aligned with its two
 subsequence of its text lines (blocks), and shared lines are deleted as template. An exact structural check follows:
 lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are never main text, and
 lines inside an ``article`` or ``main`` element are, also when a neighbour is a copy of the page. Two pages that share
-nearly everything are copies, not two fillings of one template, and delete nothing of each other.
+nearly everything outside marked template are copies, not two fillings of one template, and delete nothing of each other.
 
 The order is a range sort over (host, path), so one large host is many tasks; neighbours across a border of two tasks
 are handed over as one page a border.
@@ -28,7 +28,7 @@ from ._util import cut, require, shuffle_partitions
 from ._words import U, texts
 
 NEUTRAL, CONTENT, TEMPLATE = 0, 1, 2
-#: Share of the shorter page's lines from which two neighbours count as copies.
+#: Share of the lines outside marked template, of the page that has fewer, from which two neighbours count as copies.
 COPY = 0.8
 # Fixed lists: HTML element names by role.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -209,10 +209,10 @@ def shared_lines(lines: DataFrame) -> DataFrame:
             return none, none
         a, b = np.frombuffer(x[1], U), np.frombuffer(y[1], U)
         i, j = lcs(a, b)
-        if len(i) >= COPY * min(len(a), len(b)):
-            body = lambda k: sum(v != TEMPLATE for v in k)
-            if min(body(x[2]), body(y[2])) > 3:
-                return none, none
+        u, v = (np.frombuffer(k[2], np.uint8) != TEMPLATE for k in (x, y))
+        least = min(u.sum(), v.sum())
+        if least > 3 and (u[i] & v[j]).sum() >= COPY * least:
+            return none, none
         return i, j
 
     def run(batches):

@@ -55,6 +55,21 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_marked_template_makes_no_copies(spark):
+    """Two pages under one large menu lose their unmarked boilerplate; copies under it lose nothing."""
+    menu = "<nav>" + "".join(f"<div>Menu {k}</div>" for k in range(60)) + "</nav>"
+
+    def page(n):
+        own = "".join(f"<div>Paragraph {k} of story {n}.</div>" for k in range(6))
+        return f"<body>{menu}<div>Top</div><div>Shop</div>{own}<div>Write to us</div><div>Terms</div><div>All rights kept</div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(10 + i, f"http://copy.example/{i}", page(7)) for i in range(3)]
+    got = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(6):
+        assert got[i].text == "\n\n".join(f"Paragraph {k} of story {i}." for k in range(6)) and got[i].n_shared == 5
+    assert all(got[10 + i].n_shared == 0 and got[10 + i].text.startswith("Top") for i in range(3))
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_lcs_is_longest(seed):
     r = random.Random(seed)
