@@ -373,7 +373,7 @@ def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def master_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.fires(spark, sf_dir).where("event_id % 50 = 0")
+    d = X.fires(spark, sf_dir)
     return d.select("event_id", geo.master_grid("latitude", "longitude").alias("grid")).select("event_id", "grid.epsg", "grid.bbox")
 
 

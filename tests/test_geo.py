@@ -57,3 +57,12 @@ def test_facing(spark):
     n, e = geo.facing("e", "s")
     got = [(round(r[0], 6), round(r[1], 6)) for r in d.select(n, e).collect()]
     assert got == [(0.0, -1.0), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0)]  # east rising falls to the west; south rising falls to the north
+
+
+def test_master_grids_are_of_all_fires(spark):
+    from cinderlake.plans import registry
+    from cinderlake.sources import fixtures
+
+    got = registry.master_grids(spark, "/root/testdata/sf0.01").select("event_id").collect()
+    want = fixtures.fires(spark, "/root/testdata/sf0.01").select("event_id").collect()
+    assert len(want) > 50 and sorted(r.event_id for r in got) == sorted(r.event_id for r in want)
