@@ -166,8 +166,10 @@ class Words:
         return mix(out)[at], at
 
 
-def texts(col: pa.Array, target: int = 1 << 20, fold: bool = False) -> Iterator[tuple[int, int, Words]]:
-    let_go()
+def texts(col: pa.Array, target: int = 1 << 20, fold: bool = False, keep: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(first text, end, :class:`Words`) of runs of about ``target`` bytes; ``keep``: what this worker keeps stays."""
+    if not keep:
+        let_go()
     offsets, data = buffers(col)
     for i, j in pieces(offsets, target):
         o = offsets[i : j + 1]

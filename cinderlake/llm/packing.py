@@ -21,8 +21,8 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, require
-from ._words import buffers, keeps
-from ._words import pieces as ranges
+from ._words import U, Words, keeps, texts
 
 CAPACITY = 2048
-END = b"\0\0\0\0"
-#: Distinct words in one generation of a worker's memory (results do not depend on it).
-REMEMBERED = 450_000
+#: Bytes of text that are tokenized together.
+BATCH_BYTES = 2 << 20
+#: Distinct words in a worker's table, about 40 bytes each (results do not depend on it).
+REMEMBERED = 2_000_000
+#: Stands for the end of a text in the table of words; its id is 0.
+TEXT_END = U(0x5851F42D4C957F2D)
 _known: dict[str, tuple] = {}
 
 
@@ -55,77 +57,117 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
-class _Memory:
-    """A dict in two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
-
-    def __init__(self, size: int = REMEMBERED):
-        self.young, self.old, self.size = {}, {}, size
-
-    def missing(self, keys: set) -> list:
-        out = []
-        if len(self.young) + len(keys) > self.size:
-            self.old, self.young = self.young, {}
-        for k in keys.difference(self.young.keys()):
-            v = self.old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self.young[k] = v
-        return out
-
-
 class Encoder:
-    """Ids of whole texts as little-endian bytes, word by word.
+    """Ids of whole texts as little-endian 32-bit integers, from a table of the distinct words met so far.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in
-    order. A word of plain Latin letters, digits and signs (no special token's opening in it) is lower-cased and
-    split here by the tokenizer's own pattern, and only its parts go to the tokenizer's model; any other word goes
-    through the whole tokenizer.
+    order. Words stand as 64-bit hashes in a sorted table with their ids in one flat array; only words that are new to
+    the table are looked at as strings. A new word of plain Latin letters, digits and signs (no special token's opening in it) is
+    lower-cased and split here by the tokenizer's own pattern, and only its parts go to the tokenizer's model; any
+    other new word goes through the whole tokenizer.
     """
 
     # The pattern of word_bpe_49k.json, and the characters that its normaliser only lower-cases.
     PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = r"[!-~\u00a1-\u012f\u0131-\u017f]+"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
-        import re
 
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             said = json.load(f)["pre_tokenizer"]
         #: another tokenizer file than the one whose rules stand above takes the whole way for every word
         self.known = self.PARTS in str(said.get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
-        self.parts, self.plain = regex.compile(self.PARTS).findall, re.compile(self.PLAIN).fullmatch
-        self.letters = _byte_letters()
-        self.words, self.pieces = _Memory(), _Memory()
-
-    def learn(self, words: set[bytes]) -> None:
+        self.parts, self.plain = regex.compile(self.PARTS + r"|\n").findall, re.compile(self.PLAIN).fullmatch
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x180)}
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty table: its first entry is the end of a text."""
+        self.hash, self.at, self.n = np.array([TEXT_END], U), np.zeros(1, np.int64), np.ones(1, np.int32)
+        self.flat, self.asked = np.zeros(1, "<u4"), np.ones(1, bool)
+
+    def tokenized(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids in order)."""
         plain, other = [], []
-        for w in self.words.missing(words):
-            t = w.decode()
-            (plain if self.known and self.plain(t) and "<|" not in t else other).append((w, t))
-        split = [self.parts(t.lower()) for _, t in plain]
-        letters, tokenize = self.letters.__getitem__, self.model.tokenize
-        for p in self.pieces.missing(set().union(*split)):
-            self.pieces.young[p] = array("I", [t.id for t in tokenize("".join(map(letters, p.encode())))]).tobytes()
-        young = self.pieces.young
-        self.words.young.update((w, b"".join([young[p] for p in s])) for (w, _), s in zip(plain, split, strict=True))
+        for i, t in enumerate(b"\n".join(words).decode().split("\n")):
+            (plain if self.known and self.plain(t) and "<|" not in t else other).append((i, t))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if plain:
+            seen = self.parts("\n".join([t for _, t in plain]).lower())
+            number = {p: k for k, p in enumerate(dict.fromkeys(seen))}
+            tokenize, letters = self.model.tokenize, self.letters
+            ids = [[] if p == "\n" else [t.id for t in tokenize(p if p.isascii() else p.translate(letters))] for p in number]
+            size = np.array([len(x) for x in ids], np.int64)
+            flat = np.array([x for some in ids for x in some], "<u4")
+            k = np.fromiter(map(number.__getitem__, seen), np.int64, len(seen))
+            word = np.cumsum(k == number.get("\n", -1))
+            found.append((np.array([i for i, _ in plain]), np.bincount(word, size[k], len(plain)).astype(np.int64), flat[_runs((np.cumsum(size) - size)[k], size[k])]))
         for k in range(0, len(other), 10_000):
             some = other[k : k + 10_000]
-            got = self.tokenizer.encode_batch([t for _, t in some], add_special_tokens=False)
-            self.words.young.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(some, got, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            ids = [e.ids for e in self.tokenizer.encode_batch([t for _, t in some], add_special_tokens=False)]
+            found.append((np.array([i for i, _ in some]), np.array([len(x) for x in ids], np.int64), np.array([x for some in ids for x in some], "<u4")))
+        word, size, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(word)
+        return size[order], flat[_runs((np.cumsum(size) - size)[order], size[order])]
+
+    def _missing(self, h: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.hash[np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)] != h)
+
+    def learn(self, w: Words, h: np.ndarray, first: np.ndarray) -> None:
+        """Enter those of the distinct hashes ``h``, met at the words ``first``, that the table lacks."""
+        new = self._missing(h)
+        if len(new) and len(self.hash) + len(new) > self.remembered:  # keep what was asked for since the last time
+            k = np.flatnonzero(self.asked)
+            self.hash, self.n, self.flat = self.hash[k], self.n[k], self.flat[_runs(self.at[k], self.n[k])]
+            self.at, self.asked = np.cumsum(self.n, dtype=np.int64) - self.n, self.hash == TEXT_END
+            new = self._missing(h)
+            if len(self.hash) + len(new) > self.remembered:
+                self.forget()
+                new = self._missing(h)
+        if not len(new):
+            return
+        raw, first = w.data.tobytes(), first[new]
+        size, flat = self.tokenized([raw[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
+        hashes = np.concatenate([self.hash, h[new]])
+        order = np.argsort(hashes, kind="stable")
+        self.hash, self.n = hashes[order], np.concatenate([self.n, size.astype(np.int32)])[order]
+        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.flat)])[order]
+        self.asked = np.concatenate([self.asked, np.ones(len(new), bool)])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with id 0 at its end; where each text's ids begin, and the end of the last)."""
+        m, h = w.n_docs, w.hash
+        order = np.argsort(h)
+        s = h[order]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        u = s[new]
+        self.learn(w, u, order[new])
+        i = np.searchsorted(self.hash, u)
+        self.asked[i] = True
+        entry = np.empty(len(h) + m, np.int64)
+        mine = np.empty(len(h), np.int64)
+        mine[order] = i[np.cumsum(new) - 1]
+        entry[np.arange(len(h)) + w.doc] = mine
+        ends = np.cumsum(w.counts) + np.arange(m)
+        entry[ends] = np.searchsorted(self.hash, TEXT_END)
+        size = self.n[entry]
+        upto = np.cumsum(size, dtype=np.int64)
+        return self.flat[_runs(self.at[entry], size)], np.concatenate([[0], upto[ends]])
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every run, one run after the other."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def encoder(path: str) -> Encoder:
@@ -144,17 +186,17 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches):
-        enc, step = encoder(path), 4 * capacity
+        enc = encoder(path)
         for b in batches:
-            offsets, data = buffers(b.column(1))
-            for i, j in ranges(offsets, 1 << 20):
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.encode([data[offsets[x] : offsets[x + 1]].tobytes() for x in range(i, j)]), i):
-                    ids += END
-                    for n, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        row.append(k), piece.append(n), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            for i, _, w in texts(b.column(1), BATCH_BYTES, keep=True):
+                ids, at = enc.encode(w)
+                size = np.diff(at)
+                count = -(-size // capacity)
+                row, piece = np.repeat(np.arange(len(size)), count), _runs(np.zeros(len(size), np.int64), count)
+                length = np.minimum(size[row] - piece * capacity, capacity)
+                begin, raw = at[row] + piece * capacity, memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                cols = [b.column(0).take(pa.array(row + i)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return src.mapInArrow(run, schema)

@@ -3,9 +3,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinderlake.llm import packing
+from cinderlake.llm._words import Words, buffers
 
 from .helpers import awkward, frame
 
@@ -44,19 +46,24 @@ def test_pieces_and_sequences(spark, source):
         assert used <= -(-tokens // 2048) * 1.005
 
 
+def encoded(e, texts):
+    ids, at = e.encode(Words(*buffers(pa.array(texts, pa.string()))))
+    return [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
 def test_odd_words_go_the_tokenizers_way():
     e = packing.Encoder(packing.default_tokenizer())
-    texts = ["It's DON'T we'LL <|endoftext|> x<|startoftext|>y", "İstanbul éa ǅ ²½   a b\u0085c \x1c z", "中文 \U0001f600‍ሴ naïve Ñandú", "$$$!!! 3,14 a_b--c", ""]
-    for t, got in zip(texts, e.encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["It's DON'T we'LL <|endoftext|> x<|startoftext|>y", "İstanbul éa ǅ ²½   a b\u0085c \x1c z", "中文 \U0001f600‍ሴ naïve Ñandú", "$$$!!! 3,14 a_b--c", "", "  ", "a\x00b \x01"]
+    assert encoded(e, texts) == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
-def test_memory_may_overflow():
-    e = packing.Encoder(packing.default_tokenizer())
-    e.words.size = e.pieces.size = 50
+@pytest.mark.parametrize("size", [1, 20, 50, 90])
+def test_memory_may_overflow(size):
+    e = packing.Encoder(packing.default_tokenizer(), size)
     for k in range(20):
-        texts = [" ".join(f"w{random.Random(k * 7 + i).randrange(60)}" for i in range(30))]
-        assert np.frombuffer(e.encode([texts[0].encode()])[0], "<u4").tolist() == e.tokenizer.encode(texts[0], add_special_tokens=False).ids
+        texts = [" ".join(f"w{random.Random(k * 7 + i).randrange(60)}" for i in range(30)) for _ in range(2)]
+        assert encoded(e, texts) == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert len(e.hash) <= max(size, 31)
 
 
 @pytest.mark.parametrize("seed", range(6))
