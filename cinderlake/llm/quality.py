@@ -149,8 +149,11 @@ def _covers(x: np.ndarray, cond) -> np.ndarray:
 def fit(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules: int = 16, max_conditions: int = 4, cuts: int = 64) -> list[Rule]:
     """Sequential covering over a feature matrix; ``bad`` marks rows to reject. Deterministic."""
     rules: list[Rule] = []
-    prune = np.arange(len(x)) % 3 == 2
+    prune = np.zeros(len(x), bool)
+    for kind in (bad, ~bad):  # every third row of each kind
+        prune[np.flatnonzero(kind)[2::3]] = True
     alive = np.ones(len(x), bool)
+    barred: set[tuple[str, str]] = set()  # first conditions that led to a rule of too little precision
     while len(rules) < max_rules and (alive & bad & ~prune).sum() >= 3:
         g = alive & ~prune
         gx, gy, conds, inside = x[g], bad[g], [], np.ones(g.sum(), bool)
@@ -164,6 +167,8 @@ def fit(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules: i
                 sv, sy = v[order], np.concatenate([[0], np.cumsum(gy[inside][order])])
                 k = np.searchsorted(sv, ts, "left")
                 for op, p, n in ((">=", p0 - sy[k], (len(v) - k) - (p0 - sy[k])), ("<", sy[k], k - sy[k])):
+                    if not conds and (name, op) in barred:
+                        continue
                     with np.errstate(divide="ignore", invalid="ignore"):
                         gain = np.where(p >= 3, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), -1)
                     i = int(np.argmax(gain))
@@ -176,8 +181,7 @@ def fit(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules: i
         if not conds:
             break
         # prune: the shortest prefix with the best (p - n) / (p + n) on the held-out third
-        q = alive & prune
-        scores, got = [], q.copy()
+        first, scores, got = conds[0][:2], [], alive & prune
         for c in conds:
             got &= _covers(x, c)
             p, n = (got & bad).sum(), (got & ~bad).sum()
@@ -188,7 +192,9 @@ def fit(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, max_rules: i
             got &= _covers(x, c)
         precision = float((got & bad).sum() / max(1, got.sum()))
         if precision < min_precision or max(scores) < 2 * min_precision - 1:
-            break
+            barred.add(first)
+            continue
+        barred.clear()
         rules.append(Rule(tuple(conds), int(got.sum()), precision))
         alive &= ~got
     return rules
@@ -203,13 +209,14 @@ def learn_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED
     some = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("__quality"))
     some = some.groupBy("doc_id").agg(F.min("__quality").alias("__quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = text_stats(got).where(~base_failed()).select("doc_id", "__quality", *(c.alias(n) for n, c in features().items()))
-    pdf = rows.toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
+    rows = text_stats(got).where(~base_failed()).select("doc_id", "__quality", F.struct(*(c.alias(n) for n, c in features().items())).alias("x"))
+    # an id may stand on any number of rows: one of them, so that the driver gets max_rows rows at most
+    rows = rows.groupBy("doc_id").agg(F.min("__quality").alias("quality"), F.min("x").alias("x"))
+    pdf = rows.select(F.xxhash64("doc_id", F.lit(5)).alias("order"), "quality", "x.*").toPandas()
     if pdf.empty:
         return []
-    order = np.argsort(mix(pdf["doc_id"].to_numpy().astype(np.int64).view(U)), kind="stable")
-    x = pdf[list(FEATURES)].to_numpy(float)[order]
-    return fit(x, pdf["__quality"].to_numpy()[order] == 0, **how)
+    pdf = pdf.sort_values(["order", *FEATURES], kind="stable")
+    return fit(pdf[list(FEATURES)].to_numpy(float), pdf["quality"].to_numpy() == 0, **how)
 
 
 def judge(docs: DataFrame, rules: list[Rule], keep_text: bool = False) -> DataFrame:

@@ -66,6 +66,31 @@ def test_empty_and_clashing(spark):
     assert quality.judge(clash, [], keep_text=True).count() == len(awkward())
 
 
+def test_a_rule_that_fails_does_not_end_the_covering():
+    # the best first condition (symbols) covers clean rows as well; a later one (few distinct words) is sure
+    g = np.random.default_rng(3)
+    x = np.zeros((900, len(quality.FEATURES)))
+    bad = np.arange(900) % 3 == 0
+    x[:, 2] = np.where(bad, 1.0, g.random(900) < 0.3)
+    x[:, 9] = np.where(bad & (np.arange(900) % 2 == 0), 0.1, 0.9)
+    rules = quality.fit(x, bad)
+    hit = np.zeros(900, bool)
+    for r in rules:
+        hit |= np.logical_and.reduce([quality._covers(x, c) for c in r.conditions])
+    assert not hit[~bad].any() and hit[bad].mean() >= 0.5
+
+
+def test_string_and_repeated_ids(spark):
+    texts = ["word " * 60 + "# " * 40, "one two three four five six seven eight nine ten " * 2 + " ".join(f"w{i}" for i in range(60))]
+    rows = [(f"d{i}", texts[i % 2] + f" x{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:6] * 500, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(60)], "doc_id string, quality int")
+    rules = quality.learn_rules(docs, labels)
+    assert rules == quality.learn_rules(docs.repartition(3), labels) == quality.learn_rules(docs.distinct(), labels)
+    got = quality.judge(docs, rules).where("not base_failed").select("doc_id", "kept").distinct().collect()
+    assert all(r.kept == (int(r.doc_id[1:]) % 2 == 1) for r in got)
+
+
 def test_word_hashes_depend_on_the_word_only():
     import pyarrow as pa
 
