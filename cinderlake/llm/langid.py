@@ -7,7 +7,7 @@ the L1 part leaves most weights at exactly 0), and a temperature fitted on held-
 
 Only texts with a letter are predicted; the score is the calibrated probability of the predicted language, 1 for
 ``und``. Defined results: a null text or one without a letter is ``und``; a corpus without usable labels predicts
-``und`` everywhere with score 0; repeated rows are each predicted; null ids count as the empty text in the split; an
+``und`` everywhere with score 0; repeated rows are each predicted, and the fit's sample holds equal ones once; null ids count as the empty text in the split; an
 empty table gives an empty one; other columns are not carried and never inputs.
 """
 
@@ -25,8 +25,8 @@ from ._util import crc_mod, require
 
 BITS = 15
 DIM = 1 << BITS
-#: Training texts per language, about (by id hash): the documented bound of the fit's sample. At most 256 languages.
-MAX_PER_LANG, MAX_LANGS = 1_500, 256
+#: Training texts per language, about (by hash of id and text): the documented bound of the fit's sample.
+MAX_PER_LANG = 1_500
 _BLANK = np.uint32(32)
 _letter: list[np.ndarray] = []
 
@@ -163,28 +163,30 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, **how) -> Model:
-    """Fit on rows with a language and a text. The sample of the fit is bounded and chosen by id hash; the
+    """Fit on rows with a language and a text. The sample of the fit is bounded and chosen by a hash of id and text; the
     document frequencies are those of all rows."""
     require(docs, "doc_id", "text", "lang")
     src = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null")
-    langs = src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    langs = src.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not langs:
         return Model([], np.ones(DIM), np.zeros((DIM, 0)), np.zeros(0))
     df, total = document_frequencies(src)
     idf = np.log((1 + total) / (1 + df)) + 1
     names = sorted(r.lang for r in langs)
     share = F.create_map(*(x for r in langs for x in (F.lit(r.lang), F.lit(min(1.0, max_per_lang / r.n)))))
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = src.where(unit < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17))
+    unit = F.pmod(F.col("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = src.select("lang", key.alias("key"), "text").where(unit < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    some = some.groupBy("lang", "key").agg(F.first("text").alias("text"))  # equal rows are one, so that they do not break the bound
 
     def run(batches):
         for b in batches:
             lang, order, feats, times = [], [], [], []
-            for d, name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for name, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 got = counts(t.as_py())
                 if got is not None:
-                    lang.append(name), order.append(str(d)), feats.append(got[0].astype("<u2").tobytes()), times.append(got[1].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(order, pa.string()), pa.array(feats, pa.binary()), pa.array(times, pa.binary())], ["lang", "key", "f", "n"])
+                    lang.append(name), order.append(k), feats.append(got[0].astype("<u2").tobytes()), times.append(got[1].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(order, pa.int64()), pa.array(feats, pa.binary()), pa.array(times, pa.binary())], ["lang", "key", "f", "n"])
 
     def fit(batches):  # one task: its rows are the bounded sample
         rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[1], r[0], r[2], r[3]))
@@ -199,7 +201,7 @@ def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, **how) -> Model:
             m.temperature = temperature(np.array([m.logits(f, v) for f, v, _ in back]), np.array([y for *_, y in back]))
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype("<f8").tobytes()]), pa.array([m.bias.astype("<f8").tobytes()]), pa.array([m.temperature])], ["w", "b", "t"])
 
-    sample = some.mapInArrow(run, "lang string, key string, f binary, n binary")
+    sample = some.mapInArrow(run, "lang string, key bigint, f binary, n binary")
     r = sample.repartition(1).mapInArrow(fit, "w binary, b binary, t double").first()
     if r is None:
         return Model([], np.ones(DIM), np.zeros((DIM, 0)), np.zeros(0))

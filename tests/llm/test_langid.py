@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -54,3 +58,104 @@ def test_odd_texts(spark):
 def test_counts_cover_the_whole_text():
     f, n = langid.counts("Ab1 2c")
     assert n.sum() == len(" ab c ") + (len(" ab c ") - 1) + (len(" ab c ") - 2)
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"the {i} and of this {i}", "en", "a", 1) for i in range(3000)] + [(None, f"le {i} et la de ce {i}", "fr", "a", 1) for i in range(3000)]
+    rows += [(None, "the same text over and over", "en", "a", 1)] * 3000
+    m = langid.train(frame(spark, rows), max_per_lang=10)
+    assert m.langs == ["en", "fr"] and (m.weights != 0).any()
+    assert m.predict("the and of this")[0] == "en" and m.predict("le et la de ce")[0] == "fr"
+
+
+def test_more_languages_than_a_few_hundred(spark):
+    rows = [(i, chr(0x4E00 + i) * 3, f"l{i}", "a", 1) for i in range(300)]
+    assert len(langid.train(frame(spark, rows)).langs) == 300
+
+
+def grams(text):
+    """1- to 3-grams of the lower-cased text, other than letters as single blanks, as plain strings."""
+    t = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not t.strip():
+        return None
+    t = " " + " ".join(t.split()) + " "
+    return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+
+def bucket(gram):
+    """The feature of a gram by the operator's fixed 32-bit mixing, in plain integers."""
+    c, m = [ord(x) for x in gram], 0xFFFFFFFF
+    a = c[0] * 0x9E3779B1 & m
+    if len(c) > 1:
+        a = ((a ^ a >> 15) * 0x85EBCA77 + c[1] * 0xC2B2AE3D) & m
+    if len(c) > 2:
+        a = ((a ^ a >> 13) * 0x27D4EB2F + c[2] * 0x165667B1) & m
+    return a >> 32 - langid.BITS
+
+
+def plain_model(train, alpha=0.5, beta=1.0, l1=0.02, l2=0.02, epochs=3):
+    """Document frequencies, vectors and FTRL with scalars and dictionaries. ``train``: (text, lang) in the fit's order."""
+    names = sorted({x for _, x in train})
+    feats = [Counter() for _ in train]
+    for f, (t, _) in zip(feats, train, strict=True):
+        for g, n in grams(t).items():
+            f[bucket(g)] += n
+    df = Counter(x for f in feats for x in f)
+    idf = lambda x: math.log((1 + len(train)) / (1 + df[x])) + 1
+
+    def vector(f):
+        v = {x: (1 + math.log(n)) * idf(x) for x, n in f.items()}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    z, s = Counter(), Counter()
+
+    def weight(x, k):
+        if abs(z[x, k]) <= l1:
+            return 0.0
+        return -(z[x, k] - math.copysign(l1, z[x, k])) / ((beta + math.sqrt(s[x, k])) / alpha + l2)
+
+    def odds(v):
+        e = [sum(y * weight(x, k) for x, y in v.items()) for k in range(len(names))]
+        return e
+
+    def soft(e, t=1.0):
+        p = [math.exp((x - max(e)) / t) for x in e]
+        return [x / sum(p) for x in p]
+
+    made = [({**vector(f), -1: 1.0}, names.index(lang)) for f, (_, lang) in zip(feats, train, strict=True)]
+    fit, back = [r for i, r in enumerate(made) if i % 5], [r for i, r in enumerate(made) if i % 5 == 0]
+    order = np.random.default_rng(1)
+    for _ in range(epochs):
+        for r in order.permutation(len(fit)):
+            v, y = fit[r]
+            p = soft(odds(v))
+            steps = {(x, k): a * (p[k] - (k == y)) for x, a in v.items() for k in range(len(names))}
+            was = {i: weight(*i) for i in steps}
+            for i, g in steps.items():
+                z[i] += g - (math.sqrt(s[i] + g * g) - math.sqrt(s[i])) / alpha * was[i]
+                s[i] += g * g
+    best = min((k / 1000 for k in range(-2995, 2996)), key=lambda t: sum(-math.log(max(soft(odds(v), math.exp(t))[y], 1e-300)) for v, y in back))
+    return lambda t: (lambda p: (names[p.index(max(p))], max(p)))(soft(odds({**vector(_count(t)), -1: 1.0}), math.exp(best)))
+
+
+def _count(t):
+    f = Counter()
+    for g, n in grams(t).items():
+        f[bucket(g)] += n
+    return f
+
+
+def test_equals_a_plain_model(spark):
+    r = random.Random(2)
+    some = {"en": "the and of this with from", "fr": "le la et les ça déjà où", "de": "der die und straße über"}
+    rows = [(i, " ".join(r.choices(some[lang].split(), k=6)) + f" {i}.", lang, "a", 1) for i, lang in enumerate(list(some) * 8)]
+    docs = frame(spark, rows)
+    from pyspark.sql import functions as F
+
+    train = docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17))).orderBy("k").collect()
+    predict = plain_model([(x.text, x.lang) for x in train])
+    m = langid.train(docs)
+    for t in [x.text for x in train] + ["the straße et", "où", "with und les"]:
+        (a, p), (b, q) = m.predict(t), predict(t)
+        assert a == b and p == pytest.approx(q, rel=1e-3, abs=1e-6)
