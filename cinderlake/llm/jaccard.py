@@ -152,7 +152,7 @@ def linked_classes(members: DataFrame, threshold: float = THRESHOLD, block: int
     def run(batches):
         for t in runs_of(batches, 1):
             side, h, n = (t.column(c).to_numpy() for c in ("side", "h1", "n"))
-            first = np.unique(h, return_index=True)[1]  # a class may have come by several rows of one id
+            first = np.unique(h, return_index=True)[1]  # a class may have come from several tasks
             side, h, n = side[first], h[first], n[first]
             if len(h) < 2:
                 continue
@@ -175,17 +175,22 @@ def linked_classes(members: DataFrame, threshold: float = THRESHOLD, block: int
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
-    """``root, h1, n, grams`` of the classes in ``wanted`` (``h1, rep, root, n``): grams are the sorted 64-bit hashes."""
-    src = wanted.join(docs.select("doc_id", "text"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("root", "h1", "n", "text")
+    """``root, h1, n, grams`` of the classes in ``wanted`` (``h1, rep, rep_text, root, n``): grams are the sorted 64-bit
+    hashes of the row of that id and text hash; a task emits a class once, on however many equal rows it meets it."""
+    key = lambda i, t: F.xxhash64(F.col(i).isNull(), i, t).alias("__k")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("__t")).select(key("doc_id", "__t"), "text")
+    src = wanted.select("root", "h1", "n", key("rep", "rep_text")).join(d, "__k").select("root", "h1", "n", "text")
 
     def run(batches):
+        met: set[int] = set()
         for b in batches:
             for i, j, w in texts(b.column(3), 1 << 19, fold=True):
                 g, doc = distinct(*shingles(w, n))
                 h1, _ = set_hash(g, doc, w.n_docs)
                 ok = np.flatnonzero(h1.view(np.int64) == b.column(1).slice(i, j - i).to_numpy())
+                ok = [k for k in ok.tolist() if not (h1[k] in met or met.add(h1[k]))]
                 at = np.searchsorted(doc, np.arange(w.n_docs + 1))
-                part = b.slice(i, j - i).take(pa.array(ok))
+                part = b.slice(i, j - i).take(pa.array(ok, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([g[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], ["root", "h1", "n", "grams"])
 
     return src.mapInArrow(run, "root bigint, h1 bigint, n bigint, grams binary")
@@ -200,9 +205,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     """
     require(docs, "doc_id", "text")
     sig = cut(signatures(docs, n, bands_for(threshold, recall, rows), rows))
-    classes = cut(sig.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(sig.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    classes = classes.select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_text"), "n", "bands")
     groups = cut(candidate_groups(classes))
-    wanted = classes.select("h1", "rep", "n").join(groups.withColumnRenamed("node", "h1"), "h1")
+    wanted = classes.select("h1", "rep", "rep_text", "n").join(groups.withColumnRenamed("node", "h1"), "h1")
     found = cut(linked_classes(cut(gram_sets(docs, wanted, n)), threshold, block))
     out = settle(sig.select("doc_id", "text_hash", "h1"), "doc_id", classes.select("h1", "rep", "n"), found)
     return out.select("doc_id", "n_links", "component_id", "kept", "group_id", "text_hash")

@@ -1,8 +1,10 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cinderlake.llm import components, jaccard
 
 from .helpers import awkward, frame
@@ -76,6 +78,21 @@ def test_documents(spark):
     compare(spark, docs)
 
 
+def test_many_rows_without_an_id(spark):
+    """Sets are made once a class in each task, not once for every row that shares the null id."""
+    r = random.Random(11)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(10)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base] + [" ".join(f"y{r.randrange(10**6)}" for _ in range(30)) for _ in range(480)]
+    rows = [(None, texts[i % 500], "en", "a", 1) for i in range(5000)]
+    docs = frame(spark, rows)
+    got = jaccard.jaccard_join(docs).collect()
+    assert len(got) == 5000 and sorted(Counter(r.n_links for r in got).items()) == [(9, 4800), (19, 200)]
+    assert jaccard.keep_one(docs).count() == 490
+    wanted = docs.select(F.lit(None).cast("long").alias("rep"), F.xxhash64("text").alias("rep_text"), F.lit(0).cast("long").alias("root"), F.lit(10).cast("long").alias("n"), "text").distinct()
+    h = jaccard.signatures(docs.distinct()).select("h1", F.col("text_hash").alias("rep_text")).distinct()
+    assert jaccard.gram_sets(docs.coalesce(1), wanted.join(h, "rep_text").drop("text").coalesce(1)).count() <= 500 * 8
+
+
 def test_recall_of_the_banding():
     b = jaccard.bands_for()
     assert 1 - (1 - 0.8**5) ** b >= 0.9999 > 1 - (1 - 0.8**5) ** (b - 1)
