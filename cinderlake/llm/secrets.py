@@ -11,6 +11,7 @@ and repository); null owner or repository counts as one of its own; an empty tab
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -58,16 +59,22 @@ def find_base(text: str, low: bytes | None = None) -> list[tuple[int, int, int,
 def find_added(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Further candidates, none of them inside a base match or each other."""
     out: list[tuple[int, int, int, str]] = []
-    taken = [(a, b) for a, b, _, _ in base]
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+    starts, ends = [a for a, *_ in base], [0]  # ends[i]: how far the spans before the i-th reach
+    for _, z, *_ in base:
+        ends.append(max(ends[-1], z))
 
     def add(kind: int, found) -> None:
-        for m in found:
-            if free(m.start(), m.end()):
-                taken.append((m.start(), m.end()))
-                out.append((m.start(), m.end(), kind, m[0]))
+        mine = []
+        for m in found:  # by start, and not overlapping each other
+            i = bisect.bisect_left(starts, m.start())
+            if ends[i] <= m.start() and (i == len(starts) or m.end() <= starts[i]):
+                mine.append((m.start(), m.end(), kind, m[0]))
+        if mine:
+            out.extend(mine)
+            spans = sorted([*base, *out])
+            starts[:], ends[:] = [a for a, *_ in spans], [0]
+            for _, z, *_ in spans:
+                ends.append(max(ends[-1], z))
 
     if "-----BEGIN" in text:
         add(3, PRIVATE.finditer(text))
@@ -115,17 +122,17 @@ def owners(found: DataFrame) -> DataFrame:
     return per.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_places"))
 
 
-def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 4) -> DataFrame:
+def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 4, example_repos: int = 64) -> DataFrame:
     """Per document: ``doc_id`` and ``spans``, an array by start of
-    ``kind, start, end, base, n_owners, n_repos, verdict``; verdict is ``example`` for a value of at least
-    ``example_owners`` distinct owners and ``live`` otherwise. An added (not base) span is kept only if live.
+    ``kind, start, end, base, n_owners, n_repos, verdict``; verdict is ``example`` for a widely copied value (of at least
+    ``example_owners`` distinct owners, or in ``example_repos`` repositories of however few owners) and ``live`` otherwise. An added (not base) span is kept only if live.
     """
     require(docs, "doc_id", "text", repo_col, owner_col)
     found = cut(scan(docs, repo_col, owner_col).withColumn("__row", F.monotonically_increasing_id()))
     value = cut(owners(found))  # read twice over, and a plain table lets a hot value's join be split
     each = found.select("__row", F.explode("found").alias("f")).select("__row", "f.*")
     each = each.join(value, "value").select(
-        "__row", F.struct("start", "kind", "end", "value", (F.col("kind") < len(BASE)).alias("base"), "n_owners", "n_repos", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live").alias("verdict")).alias("s")
+        "__row", F.struct("start", "kind", "end", "value", (F.col("kind") < len(BASE)).alias("base"), "n_owners", "n_repos", F.when((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos), "example").otherwise("live").alias("verdict")).alias("s")
     )
     spans = each.where("s.base OR s.verdict = 'live'").groupBy("__row").agg(F.sort_array(F.collect_list("s")).alias("spans"))
     empty = found.where(F.size("found") == 0).select("doc_id", F.array().cast(spans.schema["spans"].dataType).alias("spans"))
