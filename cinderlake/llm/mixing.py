@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, require
+from ._util import cut, require, table_cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,10 +54,11 @@ def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     return t.select("source", "source_size", "weight", F.when(F.col("__stops"), F.col("__stop").cast("double")).otherwise(share).alias("target"))
 
 
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, __key``: __key orders the documents of a source, the same in every run."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("__key"))
+def sized(docs: DataFrame, seed: int = 0, *keep: str) -> DataFrame:
+    """``doc_id, source, size, __key`` and the ``keep`` columns: __key orders the documents of a source, the same in
+    every run, by id and text, so that rows of one id or none are spread as well."""
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce("text", F.lit(""))).cast("binary"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("__key"), *keep)
 
 
 def finish_times(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -108,34 +109,29 @@ def find_cut(times: DataFrame, rows: int, max_repeats: int = 3) -> DataFrame:
     return got.withColumn("__so_far", so_far).where("__so_far >= __budget").agg(F.min("__place").alias("__cut"))
 
 
-def mix(docs: DataFrame, seed: int = 0, max_repeats: int = 3) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document ``doc_id, source, size, source_size, target, copies, taken`` (= copies x size) and ``finish``.
 
     ``copies`` are the passes that the queue takes before the budget is reached; ``finish`` is the virtual finish
     time of the first copy: order by (finish + copy x source_size / target) for the mix's own order.
     """
     require(docs, "doc_id", "source", "text")
-    sizes = cut(sized(docs, seed))
-    times = finish_times(sizes, max_repeats)
+    sizes = cut(sized(docs, seed, *keep))
+    times = cut(finish_times(sizes, max_repeats))  # narrow rows, read three times over
     got = times.crossJoin(F.broadcast(find_cut(times, sizes.count(), max_repeats)))  # the cut is one row
     taken = sum((F.when(_place(F.lit(k)) <= F.col("__cut"), 1).otherwise(0) for k in range(max_repeats)), F.lit(0))
     got = got.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"))
     got = got.withColumn("finish", F.col("cum").cast("double") / F.col("target"))
-    return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "finish")
+    return got.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "finish", *keep)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, max_repeats: int = 3) -> DataFrame:
     """The mix as documents: the rows and columns of ``docs``, each row as often as the mix takes it.
 
-    Rows are matched by (doc_id, source, size); equal rows are numbered on both sides, so repeated ids stay apart.
+    Rows are numbered in a table of their own, so ids may be null or repeated; ``__row`` is taken as a column name.
     """
-    m = mix(docs, seed, max_repeats).where("copies > 0")
-    keys = ("doc_id", "source", "size")
-    m = m.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("__copies"))
-    d = docs.select("*", n_words(F.col("text")).alias("__n_words"))
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n_words") == F.col("__size"))
-    d = d.join(m, on)
-    w = Window.partitionBy("__doc_id", "__source", "__size").orderBy(F.xxhash64("text"))
-    d = d.withColumn("__rank", F.row_number().over(w))
-    copies = F.element_at("__copies", F.col("__rank"))
-    return d.where(F.col("__rank") <= F.size("__copies")).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    require(docs, "doc_id", "source", "text")
+    d = table_cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    m = mix(d, seed, max_repeats, ("__row",)).where("copies > 0").select(F.col("__row").alias("__r"), F.col("copies").cast("int").alias("__copies"))
+    d = d.join(m, F.col("__row") == F.col("__r"))
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -33,7 +33,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_read(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT N
 p AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.label = y.label AND len(x.e) = len(y.e) AND x.id <> y.id AND x.norm > 0 AND y.norm > 0 AND list_dot_product(x.e, y.e)/(x.norm*y.norm) >= 0.93::DOUBLE),
 {_GROUPS.format(id="vec_id")}""",
     # targets by trying every level of the water; the queue by one running sum
-    "op5_mix_sources": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS k FROM documents),
+    "op5_mix_sources": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0:' || coalesce(text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, sum(source_size) OVER () AS total FROM s),
 r AS (SELECT *, 3.0::DOUBLE*source_size/weight AS ratio FROM w),

@@ -29,18 +29,19 @@ def water(sizes, repeats=3):
 
 
 def brute(rows, repeats=3):
-    docs = [(d, s, len(words(t))) for d, t, _, s, _ in rows]
+    key = lambda d, t: hashlib.md5(f"{'' if d is None else d}:0:{t or ''}".encode()).hexdigest()
+    docs = [(d, s, len(words(t)), key(d, t)) for d, t, _, s, _ in rows]
     sizes = defaultdict(int)
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         sizes[s] += n
     target = water(sizes, repeats)
     queue, cum, seen = [], defaultdict(int), defaultdict(int)
-    for d, s, n in sorted(docs, key=lambda x: (hashlib.md5(f"{'' if x[0] is None else x[0]}:0".encode()).hexdigest(), x[2])):
+    for d, s, n, by in sorted(docs, key=lambda x: (x[3], x[2])):
         cum[s] += n
         seen[s, d] += 1
         for k in range(repeats):
             if n:
-                queue.append(((cum[s] + k * sizes[s]) / target[s], s is None, s or "", hashlib.md5(f"{'' if d is None else d}:0".encode()).hexdigest(), seen[s, d], k, d, n))
+                queue.append(((cum[s] + k * sizes[s]) / target[s], s is None, s or "", by, seen[s, d], k, d, n))
     queue.sort()
     taken, total = defaultdict(int), 0
     for *_, d, n in queue:
@@ -48,7 +49,7 @@ def brute(rows, repeats=3):
             break
         total += n
         taken[d] += n
-    return {d: (taken[d], sizes[s], target[s]) for d, s, _ in docs}
+    return {d: (taken[d], sizes[s], target[s]) for d, s, *_ in docs}
 
 
 @pytest.mark.parametrize("source", ["awkward", "sf"])
@@ -90,6 +91,24 @@ def test_mixed_documents_repeat_rows(spark):
     assert got == total
 
 
+def test_many_rows_without_an_id(spark):
+    """Texts without an id, and many of one id: each is spread by its text and taken by its own row number."""
+    rows = [(None if i % 2 else 7, f"w{i} " * (1 + i % 9), "en", "ab"[i % 7 == 0], i) for i in range(5000)]
+    got = mixing.mixed_documents(frame(spark, rows)).collect()
+    m = mixing.mix(frame(spark, rows))
+    assert m.where("doc_id is null").count() == 2500 and sum(len(words(r.text)) for r in got) == m.agg({"taken": "sum"}).first()[0]
+    assert {tuple(r) for r in got} <= set(rows)
+    per_bucket = mixing.sized(frame(spark, rows)).groupBy("__key").count().agg({"count": "max"}).first()[0]
+    assert per_bucket == 1
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark, awkward()).selectExpr("*", "1 as size", "2 as target", "3 as taken", "4 as copies", "5 as finish", "6 as weight")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {r.target for r in out.collect()} == {2}
+    assert mixing.mix(docs).count() == len(awkward())
+
+
 def test_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
