@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from ._util import cut, require
 from ._words import U, Words, mix, texts
 
-MIN_WORDS, MIN_SITES, MIN_SPREAD, LG_K = 4, 5, 0.3, 12
+MIN_WORDS, MIN_SITES, MIN_SPREAD, LG_K = 1, 5, 0.3, 12
+#: Line hashes that go to every task at most (8 MB); beyond, they are joined to the texts.
+MAX_BROADCAST = 1 << 20
 #: Words of the n-grams that contexts are taken from: too long to be shared by chance, short enough to survive edits of a copy.
 GRAM = 6
 _TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -68,9 +70,9 @@ def contexts(w: Words, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, site_col: str, min_words: int) -> DataFrame:
-    """``doc_id, site, line, context, copy``: once per distinct line of a text; copy is a hash of the whole text."""
-    src = docs.select("doc_id", F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), "text")
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, site string, line bigint, context bigint, copy bigint"
+    """``key, site, line, context, copy``: once per distinct line of a text; key is a hash of id and text, copy one of the text."""
+    src = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("key"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), "text")
+    schema = "key bigint, site string, line bigint, context bigint, copy bigint"
 
     def run(batches):
         for b in batches:
@@ -83,7 +85,7 @@ def line_rows(docs: DataFrame, site_col: str, min_words: int) -> DataFrame:
                 first = np.unique(mix(h + doc.astype(U) * U(0xD1342543DE82EF95)), return_index=True)[1]
                 h, doc, context = h[first], doc[first], context[first]
                 at = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x.view(np.int64)) for x in (h, context, copy[doc]))], ["doc_id", "site", "line", "context", "copy"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x.view(np.int64)) for x in (h, context, copy[doc]))], ["key", "site", "line", "context", "copy"])
 
     return src.mapInArrow(run, schema)
 
@@ -109,47 +111,76 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_spread: float
     return e.where(sure).unionByName(exact).select("line", F.col("site").alias("sites"), F.col("copy").alias("texts"), F.col("context").alias("contexts"))
 
 
-def delete_lines(docs: DataFrame, removals: DataFrame) -> DataFrame:
-    """``docs`` without the lines whose hashes ``removals`` (``__id, __lines``) lists for their id."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.select(*kept).join(removals, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    at = kept.index("text")
+def _deleting(columns: list[str], at: int, lines_of):
+    """A batch function: ``columns`` (text at ``at``) without the lines in ``lines_of(batch, row)``, with counts."""
 
     def run(batches):
         for b in batches:
             col = b.column(at)
             count, removed, change = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), {}
-            gone = b.column(len(kept))
+            known = lines_of(b)
             for i, j, w in texts(col):
                 h, doc, _, start, end, _, _ = line_hashes(w)
                 count[i:j] = np.bincount(w.lines()[2], minlength=j - i)
-                for k in np.flatnonzero(gone.slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)):
+                hit = known(h.view(np.int64), doc + i)
+                for k in np.unique(doc[hit]).tolist():
                     mine = slice(*np.searchsorted(doc, (k, k + 1)))
-                    hit = np.isin(h[mine].view(np.int64), gone[int(k) + i].values.to_numpy())
-                    if hit.any():
-                        drop = set(start[mine][hit].tolist())
-                        o, z = w.offsets[k], w.offsets[k + 1]
-                        left, x = [], int(o)
-                        for line in w.data[o:z].tobytes().split(b"\n"):
-                            if x not in drop:
-                                left.append(line)
-                            x += len(line) + 1
-                        change[int(k) + i] = b"\n".join(left).decode()
-                        removed[int(k) + i] = hit.sum()
+                    drop = set(start[mine][hit[mine]].tolist())
+                    o, z = w.offsets[k], w.offsets[k + 1]
+                    left, x = [], int(o)
+                    for line in w.data[o:z].tobytes().split(b"\n"):
+                        if x not in drop:
+                            left.append(line)
+                        x += len(line) + 1
+                    change[k + i] = b"\n".join(left).decode()
+                    removed[k + i] = len(drop)
             if change:
                 col = pa.array([change.get(k, v) for k, v in enumerate(col.to_pylist())], col.type)
             count[~col.is_valid().to_numpy(zero_copy_only=False)] = 0
-            cols = [col if k == at else b.column(k) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count), pa.array(removed)], [*kept, "n_lines", "n_removed"])
+            cols = [col if k == at else b.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(count), pa.array(removed)], [*columns, "n_lines", "n_removed"])
+
+    return run
+
+
+def delete_lines(docs: DataFrame, lines: DataFrame, found: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``docs`` without the lines whose hashes ``found`` (``line``) holds; ``lines``: the :func:`line_rows` of ``docs``.
+
+    Up to ``most`` hashes (8 bytes each) go to every task, and texts stay where they are. More of them are joined to
+    the texts that hold them, by id and text hash.
+    """
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    d, at = docs.select(*kept), kept.index("text")
+    if found.limit(most + 1).count() <= most:
+        all_of = np.sort(np.array([r.line for r in found.select("line").collect()], np.int64))
+        shared = docs.sparkSession.sparkContext.broadcast(all_of)
+        return d.mapInArrow(_deleting(kept, at, lambda b: lambda h, doc: _among(h, shared.value)), schema)
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("__k")
+    gone = cut(lines.join(found, "line").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("__lines")))
+    d = d.select("*", key).join(gone.withColumnRenamed("key", "__k"), "__k", "left").select(*kept, "__lines")
+
+    def lines_of(b):
+        mine = b.column(len(kept))
+        one_list = b"".join(x.values.to_numpy().astype("<i8").tobytes() if x.is_valid else b"" for x in mine)
+        values, size = np.frombuffer(one_list, "<i8"), np.array([len(x.values) if x.is_valid else 0 for x in mine], np.int64)
+        pairs = np.unique(_pair(values, np.repeat(np.arange(len(mine)), size)))
+        return lambda h, doc: _among(_pair(h, doc), pairs)
+
+    return d.mapInArrow(_deleting(kept, at, lines_of), schema)
+
+
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each x is in the sorted values."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x if len(values) else np.zeros(len(x), bool)
+
 
-    return d.mapInArrow(run, schema)
+def _pair(line: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return mix(line.view(U) + row.astype(U) * U(0xD1342543DE82EF95))
 
 
-def dedup_lines(docs: DataFrame, site_col: str = "source", min_words: int = MIN_WORDS, min_sites: int = MIN_SITES, min_spread: float = MIN_SPREAD, lg_k: int = LG_K) -> DataFrame:
+def dedup_lines(docs: DataFrame, site_col: str = "source", min_words: int = MIN_WORDS, min_sites: int = MIN_SITES, min_spread: float = MIN_SPREAD, lg_k: int = LG_K, most: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` with boilerplate lines deleted from ``text``, plus ``n_lines`` (before) and ``n_removed``."""
     require(docs, "doc_id", "text", site_col)
     lines = cut(line_rows(docs, site_col, min_words))
-    found = cut(boilerplate(lines, min_sites, min_spread, lg_k).select("line"))
-    gone = lines.select("doc_id", "line").join(found, "line").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    return delete_lines(docs, cut(gone))
+    return delete_lines(docs, lines, cut(boilerplate(lines, min_sites, min_spread, lg_k).select("line")), most)

@@ -17,7 +17,7 @@ STRIP = "\x20\t\n\x0b\x0c\r"
 def brute(spark, rows, min_words=4, min_sites=5, min_spread=0.3):
     """Contexts come from the operator's own hashes; counting, limits and deletion are plain Python."""
     lines = linededup.line_rows(frame(spark, rows), "source", 1).collect()
-    context = {(r.doc_id, r.copy, r.line): r.context for r in lines}
+    context = {(r.copy, r.line): r.context for r in lines}
     import pyarrow as pa
 
     def hashes(t):
@@ -35,7 +35,7 @@ def brute(spark, rows, min_words=4, min_sites=5, min_spread=0.3):
                     key = line.strip(STRIP)
                     sites[key].add(s)
                     copies[key].add(t)
-                    contexts[key].add(context[d, copy, by[at]])
+                    contexts[key].add(context[copy, by[at]])
                 at += len(line.encode()) + 1
     bad = {k for k in sites if min(len(sites[k]), len(contexts[k])) >= min_sites and len(contexts[k]) >= min_spread * len(copies[k])}
     out = []
@@ -68,9 +68,10 @@ def made():
     return rows, boiler, passage, short, doc
 
 
-def test_deletes_boilerplate_only(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_deletes_boilerplate_only(spark, most):
     rows, boiler, passage, short, doc = made()
-    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, rows), min_words=4, most=most).collect()}
     want, bad = brute(spark, rows)
     assert bad == {boiler, passage}
     assert sorted(((str(d), r.text) for d, r in got.items()), key=str) == want
@@ -96,7 +97,7 @@ def test_near_limits_are_exact(spark, lg_k):
 
 def test_awkward(spark):
     rows = awkward()
-    out = linededup.dedup_lines(frame(spark, rows).selectExpr("*", "1 as n_lines", "2 as line", "3 as site"), min_sites=1, min_spread=0.0)
+    out = linededup.dedup_lines(frame(spark, rows).selectExpr("*", "1 as n_lines", "2 as line", "3 as site"), min_words=4, min_sites=1, min_spread=0.0)
     want, bad = brute(spark, rows, min_sites=1, min_spread=0.0)
     assert bad and sorted(((str(r.doc_id), r.text) for r in out.collect()), key=str) == want
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
@@ -104,7 +105,7 @@ def test_awkward(spark):
 
 def test_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    got = sorted(((str(r.doc_id), r.text) for r in linededup.dedup_lines(frame(spark, rows)).collect()), key=str)
+    got = sorted(((str(r.doc_id), r.text) for r in linededup.dedup_lines(frame(spark, rows), min_words=4).collect()), key=str)
     want, bad = brute(spark, rows)
     assert bad and got == want
 
@@ -131,3 +132,15 @@ def test_query_and_pipeline_count_short_lines(spark, tmp_path):
         texts_of = [x.text.split("\n") for x in got.collect()]
         assert len(texts_of) == 60 and not any("All rights reserved." in t or "Home" in t for t in texts_of)
         assert sum("rare" in t for t in texts_of) == 2
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_many_rows_without_an_id(spark, most):
+    """Rows that share a null id each lose their own lines only, and the work is one list a text."""
+    r = random.Random(8)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8))
+    boiler = [f"all rights of number {k} are reserved" for k in range(3)]
+    rows = [(None, "\n".join([line(), boiler[i % 3], line()]), "en", f"s{i % 10}", 1) for i in range(5000)]
+    got = linededup.dedup_lines(frame(spark, rows), most=most).collect()
+    assert len(got) == 5000 and all(x.n_removed == 1 for x in got)
+    assert sorted(x.text for x in got) == sorted(t.replace("\n" + boiler[i % 3], "") for i, (_, t, *_) in enumerate(rows))
