@@ -1,22 +1,25 @@
 """HTML main-text extraction by nearest-URL page differencing.
 
 Pages of a host are put in order of URL path; each page is aligned with its two nearest neighbours by a longest common
-subsequence of its text lines (blocks), and shared lines are deleted as template. An exact structural check follows:
-lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments are never main text, and
-lines inside an ``article`` or ``main`` element are, also when a neighbour is a copy of the page. Two pages that share
+subsequence of its text lines (blocks), and shared lines are deleted as template. Two pages that share
 nearly everything outside marked template are copies, not two fillings of one template, and delete nothing of each other.
+An exact structural check follows: lines inside an ``article`` or ``main`` element stay (articles may have lines in common), and
+of the lines that no neighbour shares those inside menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments go too. ``n_shared``, ``n_both`` and ``n_marked`` count the lines that differencing, both and the check alone delete;
+``structure=False`` leaves the check out.
 
-The order is a range sort over (host, path), so one large host is many tasks; neighbours across a border of two tasks
-are handed over as one page a border.
+The order is a range sort over (host, path), so one large host is many tasks; the two pages at each border of two tasks
+meet in a shuffle of their own. A page is parsed twice: to its line hashes, and to its text.
 
 Defined results: null html is an empty page; a page with no url or alone on its host has no neighbour and is judged by
-structure only; repeated rows are each extracted; an empty table gives an empty one; other columns are not carried.
+structure only; repeated rows are each extracted; broken markup ends where the next tag begins; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +29,96 @@ from pyspark.sql import functions as F
 
 from ._util import cut, require, shuffle_partitions
 from ._words import U, texts
+from .components import runs_of
 
 NEUTRAL, CONTENT, TEMPLATE = 0, 1, 2
 #: Share of the lines outside marked template, of the page that has fewer, from which two neighbours count as copies.
 COPY = 0.8
+#: Pages with shared lines that are sent to every task at most (some tens of bytes each); beyond, pages are joined by a shuffle.
+MAX_BROADCAST = 200_000
 # Fixed lists: HTML element names by role.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TEMPLATE = frozenset("nav header footer aside form menu dialog button select option head title noscript template iframe object svg canvas audio video math search fieldset".split())
+_TEMPLATE = frozenset("nav header footer aside form menu dialog button select option head title noscript template iframe object svg canvas audio video search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup popup modal overlay pagination pager toolbar login search skip".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp|noframes|noembed)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S | re.I)
+# Elements that may be a template's container inside an article, too; elsewhere any element may.
+_CONTAINER = frozenset("div section ul ol dl table aside details figure".split())
+_RAW = frozenset("script style textarea xmp noframes noembed".split())
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_PLAIN_ATTRS = re.compile(r"""[^<>"']*""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _is_template(tag: str, attrs: str) -> bool:
+def _is_template(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is template by its name or attributes; ``inside`` an article only containers are, by class or role."""
     if tag in _TEMPLATE:
         return True
-    if attrs and tag not in ("html", "body", "article", "main"):
+    if attrs and tag not in ("html", "body", "article", "main") and not (inside and tag not in _CONTAINER):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "role" and value.strip() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and not _NAMES.isdisjoint(x for w in value.split() for x in (w, *_SPLIT.split(w)[:1], *_SPLIT.split(w)[-1:])):
-                return True
+            if name == "class" or name == "id" and not inside:
+                if not _NAMES.isdisjoint(x for w in value.split() for x in (w, *_SPLIT.split(w)[:1], *_SPLIT.split(w)[-1:])):
+                    return True
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of every non-empty block in page order; text is decoded and its white space is single blanks."""
+def markup(page: str):
+    """(text, closing, tag, attributes) of the page's tokens in order: either a text or a tag (lower-case), the other empty.
+
+    One pass: every character is looked at a fixed number of times, however broken the page. A tag ends at its ">", or before a
+    "<" outside quotes; a quote without an end is an ordinary character. Comments, declarations and raw texts are dropped.
+    """
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'>"}
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", "", ""
+            return
+        if lt > at:
+            yield page[at:lt], "", "", ""
+        m = _NAME.match(page, lt + 1)
+        if m is None:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif page.startswith(("<!", "<?", "</"), lt) and lt < last[">"]:
+                at = page.find(">", lt) + 1
+            else:
+                yield "<", "", "", ""
+                at = lt + 1
+            continue
+        at = m.end()
+        while True:
+            at = _PLAIN_ATTRS.match(page, at).end()
+            if at >= n or page[at] in "<>":
+                break
+            at = page.find(page[at], at + 1) + 1 if at < last[page[at]] else at + 1
+        tag, attrs = m[2].lower(), page[m.end() : at]
+        at += at < n and page[at] == ">"
+        if tag in _RAW and not m[1]:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else n
+            yield " ", "", "", ""
+        else:
+            yield "", m[1], tag, attrs
+
+
+def blocks(page: str | None, structure: bool = True) -> list[tuple[str, int]]:
+    """(text, kind) of every non-empty block in page order; text is decoded and its white space is single blanks.
+    Without ``structure`` every block is neutral."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    # open elements: (name, role it gives to what is inside: None, CONTENT or TEMPLATE)
+    # open elements: (name, role it gives to what is inside: None, CONTENT or TEMPLATE), and how many of each name
     stack: list[tuple[str, int | None]] = []
+    opened: Counter = Counter()
     template = content = 0
 
     def flush() -> None:
@@ -69,45 +126,42 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, TEMPLATE if template else CONTENT if content else NEUTRAL))
+                out.append((text, NEUTRAL if not structure else TEMPLATE if template else CONTENT if content else NEUTRAL))
 
     def pop() -> None:
         nonlocal template, content
-        _, role = stack.pop()
+        name, role = stack.pop()
+        opened[name] -= 1
         template -= role == TEMPLATE
         content -= role == CONTENT
 
-    for m in _TOKEN.finditer(page or ""):
-        if m[8] is not None:
-            parts.append(m[8])
+    for text, closing, tag, attrs in markup(page or ""):
+        if not tag:
+            parts.append(text)
             continue
-        tag = m[3] or m[6]
-        if tag is None:
-            if m[1]:
-                parts.append(" ")
-            continue
-        tag, attrs, closing = tag.lower(), (m[4] if m[3] else m[7]) or "", m[2] if m[3] else m[5]
         if tag == "br":
             parts.append(" ")
             continue
         if tag in _BLOCK:
             flush()
         if closing:
-            if any(name == tag for name, _ in stack):
-                if any(role for name, role in stack[-1 - next(i for i, (n, _) in enumerate(reversed(stack)) if n == tag) :]):
+            if opened[tag]:
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                if any(role for _, role in stack[at:]):
                     flush()
-                while stack[-1][0] != tag:
+                while len(stack) > at:
                     pop()
-                pop()
             continue
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         role = None
         if tag in ("article", "main"):
             role = CONTENT
-        elif content and (tag == "hgroup" or tag == "header") and not template:
+        elif content and tag in ("hgroup", "header") and not template:
             role = None  # an article's own heading; its headings are text of the article
-        elif _is_template(tag, attrs):
+        elif _is_template(tag, attrs, content > 0):
             role = TEMPLATE
         if tag in ("p", "li", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop()
@@ -116,6 +170,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             template += role == TEMPLATE
             content += role == CONTENT
         stack.append((tag, role))
+        opened[tag] += 1
     flush()
     return out
 
@@ -163,115 +218,119 @@ def _hirschberg(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([i1, i2 + h]), np.concatenate([j1, j2 + k])
 
 
-def line_table(pages: DataFrame) -> DataFrame:
-    """``page_id, url, page, host, path, lines, kinds``: hashes and kinds of each page's blocks; page is a hash of the html."""
-    src = pages.select("page_id", "url", F.xxhash64("html").alias("page"), "html").where("url is not null and html is not null")
-    spec = f"page_id {src.schema['page_id'].dataType.simpleString()}, url string, page bigint, host string, path string, lines binary, kinds binary"
+def line_table(pages: DataFrame, structure: bool = True) -> DataFrame:
+    """``key, salt, host, path, url, lines, kinds``: hashes and kinds of each page's blocks; key is a hash of id, url and html."""
+    src = pages.select(page_key().alias("key"), "url", "html").where("url is not null and html is not null")
+    spec = "key bigint, url string, host string, path string, lines binary, kinds binary"
 
     def run(batches):
         for b in batches:
             hp = [host_path(u) for u in b.column(1).to_pylist()]
             lines, kinds = [], []
-            for t in b.column(3):
-                got = blocks(t.as_py())
+            for t in b.column(2):
+                got = blocks(t.as_py(), structure)
                 w = [w for _, _, w in texts(pa.array([x for x, _ in got], pa.string()), 1 << 30)]
                 lines.append(w[0].spans(w[0].offsets[:-1], w[0].offsets[1:]).tobytes() if w else b"")
                 kinds.append(bytes(k for _, k in got))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([h for h, _ in hp], pa.string()), pa.array([p for _, p in hp]), pa.array(lines, pa.binary()), pa.array(kinds, pa.binary())], ["page_id", "url", "page", "host", "path", "lines", "kinds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in hp], pa.string()), pa.array([p for _, p in hp]), pa.array(lines, pa.binary()), pa.array(kinds, pa.binary())], ["key", "url", "host", "path", "lines", "kinds"])
+
+    return src.mapInArrow(run, spec).where("host is not null").withColumn("salt", F.rand(11))
+
+
+def page_key():
+    return F.xxhash64(F.col("page_id").isNull(), "page_id", F.xxhash64("url"), F.xxhash64("html"))
+
+
+def align(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in x and in y, each (host, lines, kinds), of the lines that the two pages share as template."""
+    none = np.zeros(0, int)
+    if x[0] != y[0]:
+        return none, none
+    i, j = lcs(np.frombuffer(x[1], U), np.frombuffer(y[1], U))
+    u, v = (np.frombuffer(k[2], np.uint8) != TEMPLATE for k in (x, y))
+    least = min(u.sum(), v.sum())
+    if least > 3 and (u[i] & v[j]).sum() >= COPY * least:
+        return none, none
+    return i, j
+
+
+_SHARED = "key bigint, shared array<int>"
+
 
-    return src.mapInArrow(run, spec).where("host is not null")
+def _shared_rows(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([np.unique(s).tolist() for _, s in rows], pa.list_(pa.int32()))], ["key", "shared"])
 
 
 def shared_lines(lines: DataFrame) -> DataFrame:
-    """``page_id, url, page, shared``: positions of neutral lines shared with a nearest page; only pages that have some."""
-    order = ["host", "path", "url", "page_id", "page"]
+    """``key, shared``: positions of the lines shared with a nearest page; a page may have a row for each neighbour."""
+    order = ["host", "path", "url", "key", "salt"]  # salt: equal rows are split as well
     d = cut(lines.repartitionByRange(max(shuffle_partitions(lines.sparkSession), 2), *order).sortWithinPartitions(*order))
+    d = d.select("key", "host", "lines", "kinds")
+
+    def inside(batches):
+        held, out = None, []
+        for b in batches:
+            for me in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held is not None:
+                    i, j = align(held[1:], me[1:])
+                    out += [(k, s) for k, s in ((held[0], i), (me[0], j)) if len(s)]
+                held = me
+                if len(out) >= 1000:
+                    yield _shared_rows(out)
+                    out.clear()
+        if out:
+            yield _shared_rows(out)
 
     def ends(batches):
         first = last = None
         for b in batches:
             if b.num_rows:
-                first = first or (b.column(3)[0].as_py(), b.column(5)[0].as_py(), b.column(6)[0].as_py())
-                last = (b.column(3)[-1].as_py(), b.column(5)[-1].as_py(), b.column(6)[-1].as_py())
-        if first:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * 2, pa.int32()), pa.array([0, 1], pa.int32()), *(pa.array(x, k) for x, k in zip(zip(first, last, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True))], ["p", "end", "host", "lines", "kinds"])
-
-    # two pages for each task of the sort: what meets at the borders
-    at = {(r.p, r.end): (r.host, bytes(r.lines), bytes(r.kinds)) for r in d.mapInArrow(ends, "p int, end int, host string, lines binary, kinds binary").collect()}
-    tasks = sorted({p for p, _ in at})
-    before = {p: at[tasks[i - 1], 1] for i, p in enumerate(tasks) if i}
-    after = {p: at[tasks[i + 1], 0] for i, p in enumerate(tasks[:-1])}
-
-    def align(x, y):
-        """(positions in x, positions in y) that the two pages share as template."""
-        none = np.zeros(0, int)
-        if x is None or y is None or x[0] != y[0]:
-            return none, none
-        a, b = np.frombuffer(x[1], U), np.frombuffer(y[1], U)
-        i, j = lcs(a, b)
-        u, v = (np.frombuffer(k[2], np.uint8) != TEMPLATE for k in (x, y))
-        least = min(u.sum(), v.sum())
-        if least > 3 and (u[i] & v[j]).sum() >= COPY * least:
-            return none, none
-        return i, j
-
-    def run(batches):
-        p = TaskContext.get().partitionId()
-        rows = ((r, (r["host"], r["lines"], r["kinds"])) for b in batches for r in b.to_pylist())
-        held, up = None, None
-        out = []
-
-        def emit(row, *shared):
-            kinds = row["kinds"]
-            some = sorted({int(i) for s in shared for i in s if kinds[i] == NEUTRAL})
-            if some:
-                out.append((row["page_id"], row["url"], row["page"], some))
-
-        def batch():
-            cols = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int32()))], ["page_id", "url", "page", "shared"])
-
-        for row, me in rows:
-            if held is None:
-                up = align(before.get(p), me)[1]
-            else:
-                i, j = align(held[1], me)
-                emit(held[0], up, i)
-                up = j
-            held = (row, me)
-            if len(out) >= 1000:
-                yield batch()
-        if held is not None:
-            emit(held[0], up, align(held[1], after.get(p))[0])
-        if out:
-            yield batch()
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(lines.schema["page_id"].dataType)
-    spec = f"page_id {lines.schema['page_id'].dataType.simpleString()}, url string, page bigint, shared array<int>"
-    return d.mapInArrow(run, spec)
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` and ``n_shared`` (lines deleted by differencing) of every page."""
+                first = first or b.slice(0, 1)
+                last = b.slice(b.num_rows - 1)
+        for side, b in enumerate((first, last)):
+            if b is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([side], pa.int32()), *b.columns], ["p", "side", "key", "host", "lines", "kinds"])
+
+    def across(batches):
+        for t in runs_of(batches, 1):
+            if t.num_rows == 2:
+                (_, _, k, *x), (_, _, m, *y) = sorted(zip(*(c.to_pylist() for c in t.columns), strict=True), key=lambda r: -r[1])  # the last of a task, the first of the next
+                i, j = align(tuple(x), tuple(y))
+                if len(i):
+                    yield _shared_rows([(k, i), (m, j)])
+
+    at = cut(d.mapInArrow(ends, "p int, side int, key bigint, host string, lines binary, kinds binary"))
+    tasks = sorted(r.p for r in at.where("side = 0").select("p").collect())  # numbers of the sort's tasks
+    borders = [(p, 1, i) for i, p in enumerate(tasks)] + [(p, 0, i - 1) for i, p in enumerate(tasks)]
+    names = lines.sparkSession.createDataFrame(borders, "p int, side int, border int")
+    met = at.join(F.broadcast(names), ["p", "side"]).select("border", "side", "key", "host", "lines", "kinds")
+    met = met.repartition("border").sortWithinPartitions("border").mapInArrow(across, _SHARED)
+    return d.mapInArrow(inside, _SHARED).unionByName(met)
+
+
+def extract(pages: DataFrame, structure: bool = True, most: int = MAX_BROADCAST) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page, and how many lines differencing alone (``n_shared``), both (``n_both``)
+    and structure alone (``n_marked``) deleted."""
     require(pages, "page_id", "url", "html")
-    shared = cut(shared_lines(line_table(pages)))
-    # equal rows of one id and url share one list; pages without shared lines are not in the table at all
-    s = shared.groupBy(F.col("page_id").alias("i"), F.col("url").alias("u"), "page").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")).withColumnRenamed("page", "h")
-    d = pages.select("page_id", "url", "html", F.xxhash64("html").alias("page"))
-    d = d.join(s, (F.col("page") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")), "left").select("page_id", "url", "html", "shared")
-    spec = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars bigint, n_shared bigint"
+    # a line of an article stays whether shared or not: positions are all a page needs
+    s = cut(shared_lines(cut(line_table(pages, structure))))
+    s = s.groupBy(F.col("key").alias("k")).agg(F.array_distinct(F.flatten(F.collect_set("shared"))).alias("shared"))
+    s = cut(s)
+    if s.limit(most + 1).count() <= most:  # a few places for each of so many pages: pages need not move
+        s = F.broadcast(s)
+    d = pages.select("page_id", "url", "html", page_key().alias("key"))
+    d = d.join(s, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "shared")
+    spec = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars bigint, n_shared bigint, n_both bigint, n_marked bigint"
 
     def run(batches):
         for b in batches:
-            out, cuts = [], []
+            out, counts = [], []
             for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 drop = set(gone or ())
-                got = blocks(t.as_py())
+                got = blocks(t.as_py(), structure)
                 out.append("\n\n".join(x for i, (x, k) in enumerate(got) if k == CONTENT or k == NEUTRAL and i not in drop))
-                cuts.append(len(drop))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(cuts, pa.int64())], ["page_id", "url", "text", "n_chars", "n_shared"])
+                both = sum(got[i][1] == TEMPLATE for i in drop)
+                counts.append((len(out[-1]), sum(got[i][1] == NEUTRAL for i in drop), both, sum(k == TEMPLATE for _, k in got) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4))], ["page_id", "url", "text", "n_chars", "n_shared", "n_both", "n_marked"])
 
     return d.mapInArrow(run, spec)

@@ -70,6 +70,63 @@ def test_marked_template_makes_no_copies(spark):
     assert all(got[10 + i].n_shared == 0 and got[10 + i].text.startswith("Top") for i in range(3))
 
 
+def model(rows, structure=True):
+    """Plain pairing by host and path, one LCS a pair, and deletion; the LCS itself is tested below."""
+    lines = {}
+    for i, url, h in rows:
+        got = pages.blocks(h, structure)
+        ids = np.array([hash(t) & (1 << 62) - 1 for t, _ in got], np.uint64)
+        lines[i] = (pages.host_path(url), url, got, ids)
+    drop = {i: set() for i in lines}
+    order = sorted((i for i in lines if lines[i][1] and lines[i][0][0]), key=lambda i: (lines[i][0], lines[i][1]))
+    for i, j in zip(order, order[1:]):
+        if lines[i][0][0] == lines[j][0][0]:
+            a, b = pages.lcs(lines[i][3], lines[j][3])
+            own = [[k != pages.TEMPLATE for _, k in lines[x][2]] for x in (i, j)]
+            least = min(map(sum, own))
+            if least > 3 and sum(own[0][x] and own[1][y] for x, y in zip(a, b)) >= pages.COPY * least:
+                continue
+            drop[i] |= set(a.tolist())
+            drop[j] |= set(b.tolist())
+    return {i: "\n\n".join(t for n, (t, k) in enumerate(v[2]) if k == pages.CONTENT or k == pages.NEUTRAL and n not in drop[i]) for i, v in lines.items()}, drop
+
+
+@pytest.mark.parametrize("structure, most", [(True, 1 << 20), (False, 1 << 20), (True, 0)])
+def test_equals_plain_differencing(spark, structure, most):
+    src = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in src.collect()]
+    got = pages.extract(src.repartition(5), structure, most).collect()
+    want, drop = model(rows, structure)
+    assert {r.page_id: r.text for r in got} == want
+    assert sum(r.n_shared + r.n_both for r in got) > 0 and (structure or sum(r.n_shared for r in got) == sum(map(len, drop.values())))
+
+
+def test_names_inside_an_article_take_containers_only():
+    html = '<article><h2 id="search">Search trees</h2><p class="notice">A notice was read.</p><math><mi>x</mi></math><div id="side">text</div><div class="ad">Buy</div><section role="search">find</section></article><p class="notice">cookies</p>'
+    assert [t for t, k in pages.blocks(html) if k == pages.CONTENT] == ["Search trees", "A notice was read.", "x", "text"]
+    assert ("cookies", pages.TEMPLATE) in pages.blocks(html)
+
+
+@pytest.mark.parametrize("piece", ["<script ", '<a href="', "<a '\">", "<div><b>", "</p>", "<!-", "<a<", '<a ">" ', "<x y='", "&amp", "<p>text <i>"])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    t = time.process_time()
+    for _ in pages.markup(page):
+        pass
+    pages.blocks(page)
+    assert time.process_time() - t < 10  # two passes over a megabyte of nothing but breaks; a quadratic scan takes hours
+
+
+def test_long_page_and_clashing_columns(spark):
+    body = "".join(f"<p>Paragraph {i} of a very long page.</p>" for i in range(30_000))
+    rows = [(1, "http://h.example/a", f"<article>{body}</article>"), (2, "http://h.example/b", "<div>short</div>")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as text", "3 as shared", "'h' as host", "4 as k")
+    got = {r.page_id: r for r in pages.extract(df).collect()}
+    assert got[1].text.count("\n\n") == 29_999 and got[2].text == "short"
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_lcs_is_longest(seed):
     r = random.Random(seed)
