@@ -30,39 +30,47 @@ from .components import forest, runs_of, settle, spread
 THRESHOLD, BLOCK = 0.93, 1024
 #: Pivots of one label and labels with pivots, at most: 2 MB of pivots at 64 dimensions. Other labels have one cell.
 PIVOTS, PIVOT_LABELS = 64, 64
+#: Vectors among which a node's next centres are sought at a time; children of two nodes from which their distances are one product.
+CENTERS, WIDE = 64, 4096
 
 
 class CoverTree:
     """Cover tree over unit vectors: ``center``, ``radius`` (largest distance to a descendant) and children of each node.
 
-    Levels have radii 2, 1, 1/2, ...; each level's centres are among the next one's (nesting), lie further apart than
-    the level's radius and cover what is below. A node of one vector, or of vectors closer than ``least``, is a leaf.
+    Levels have radii 2, 1, 1/2, ...; a node's centre is among its children's (nesting), its children lie further apart than their
+    level's radius and cover what is below. A node of one vector, or of vectors closer than ``least``, is a leaf.
     """
 
     def __init__(self, x: np.ndarray, least: float = 1e-3):
         self.x, self.order = x, np.arange(len(x))
         center, radius, first, last, begin, end = [0], [0.0], [0], [0], [0], [len(x)]
         todo, level = [0], 2.0
-        gram = x @ x.T
         while todo:
             down = []
             limit = 1 - level * level / 8  # cosine at half the level's radius
             for node in todo:
                 at = self.order[begin[node] : end[node]]
-                g = gram[center[node], at]
+                if len(at) == 1:
+                    continue
+                g = x[at] @ x[center[node]]
                 radius[node] = math.sqrt(max(0.0, 2 - 2 * float(g.min())))
-                if len(at) == 1 or radius[node] <= least:
+                if radius[node] <= least:
                     continue
                 first[node] = len(center)
-                rest, parts, c = at, [], center[node]
-                while len(rest):
-                    near = gram[c, rest] >= limit
-                    near |= rest == c
-                    parts.append(rest[near])
-                    center.append(c)
-                    rest = rest[~near]
-                    if len(rest):
-                        c = int(rest[0])
+                near = (g >= limit) | (at == center[node])
+                parts, rest = [at[near]], at[~near]
+                center.append(center[node])
+                while len(rest):  # the next centres are sought among some vectors at a time
+                    some = rest[:CENTERS]
+                    g = x[rest] @ x[some].T
+                    owner = np.full(len(rest), -1)
+                    for k, c in enumerate(some):
+                        if owner[k] < 0:
+                            owner[(owner < 0) & (g[:, k] >= limit)] = k
+                            owner[k] = k
+                            center.append(int(c))
+                    parts += [rest[owner == k] for k in np.unique(owner[owner >= 0])]
+                    rest = rest[owner < 0]
                 last[node] = len(center)
                 a = begin[node]
                 for p in parts:
@@ -84,46 +92,81 @@ def _expand(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return who, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[who]
 
 
-def dual_pairs(s: CoverTree, t: CoverTree, threshold: float, same: bool, most: int = 1 << 20):
-    """(i, j) of vectors of s and t with cosine at or above the threshold; i < j if both are the same tree."""
+def _grid(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Every number of a's k-th range with every number of b's k-th range, for all k."""
+    w, i = _expand(a[0], *a)
+    v, j = _expand(w, b[0][w], b[1][w])
+    return i[v], j
+
+
+def dual_pairs(s: CoverTree, t: CoverTree, threshold: float, same: bool, most: int = 1 << 18, seen: list[int] | None = None):
+    """(i, j) of vectors of s and t with cosine at or above the threshold; i < j if both are the same tree.
+
+    Only pairs of nodes whose parents were not pruned are measured; ``seen`` is told how many distances that took."""
     r = math.sqrt(2 - 2 * threshold) + 1e-9
-    gram = s.x @ t.x.T
-    out_i, out_j = [], []
-    todo = [(np.zeros(1, int), np.zeros(1, int))]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    seen = [] if seen is None else seen
+
+    def dots(i, j):
+        seen.append(len(i))
+        parts = [np.einsum("ij,ij->i", s.x[i[k : k + 65536]], t.x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def close(a, b, g):
+        return np.sqrt(np.maximum(0, 2 - 2 * g)) <= s.radius[a] + t.radius[b] + r + 1e-7
+
+    def children(tree, nodes):
+        """The nodes below, or the node itself if it is a leaf."""
+        leaf = tree.first[nodes] == tree.last[nodes]
+        return np.where(leaf, nodes, tree.first[nodes]), np.where(leaf, nodes + 1, tree.last[nodes])
+
+    def ordered(x, y):
+        """In one tree a pair of nodes is looked at once, the one whose vectors lie first in front."""
+        if same:
+            ok = s.begin[x] <= s.begin[y]
+            return x[ok], y[ok]
+        return x, y
+
+    zero = np.zeros(1, int)
+    todo = [(zero, zero)]
     while todo:
         a, b = todo.pop()
         if len(a) > most:
             h = len(a) // 2
             todo += [(a[:h], b[:h]), (a[h:], b[h:])]
             continue
-        d = np.sqrt(np.maximum(0, 2 - 2 * gram[s.center[a], t.center[b]]))
-        ok = d <= s.radius[a] + t.radius[b] + r + 1e-7
-        a, b = a[ok], b[ok]
-        leaf_a, leaf_b = s.first[a] == s.last[a], t.first[b] == t.last[b]
-        done = leaf_a & leaf_b
+        done = (s.first[a] == s.last[a]) & (t.first[b] == t.last[b])
         if done.any():
-            x, y = a[done], b[done]
-            w, i = _expand(x, s.begin[x], s.end[x])
-            v, j = _expand(w, t.begin[y][w], t.end[y][w])
-            i, j = s.order[i[v]], t.order[j]
-            ok = gram[i, j] >= threshold - 1e-12
-            ok &= (i < j) if same else True
-            out_i.append(i[ok])
-            out_j.append(j[ok])
-        a, b, leaf_a, leaf_b = a[~done], b[~done], leaf_a[~done], leaf_b[~done]
-        if len(a):
-            left = ~leaf_a & (leaf_b | (s.radius[a] >= t.radius[b]))  # open the wider node
-            for pick, first, last in ((left, s.first[a], s.last[a]), (~left, t.first[b], t.last[b])):
-                if pick.any():
-                    w, child = _expand(a[pick], first[pick], last[pick])
-                    todo.append((child, b[pick][w]) if pick is left else (a[pick][w], child))
-    i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (out_i, out_j))
-    edge = np.abs(gram[i, j] - threshold) < 1e-12  # a tie with the limit is decided by a plain double sum
+            i, j = _grid((s.begin[a[done]], s.end[a[done]]), (t.begin[b[done]], t.end[b[done]]))
+            if same:  # leaves are runs of the order, so this is each pair once
+                i, j = i[i < j], j[i < j]
+            i, j = s.order[i], t.order[j]
+            g = dots(i, j)
+            ok = g >= threshold - 1e-12
+            out.append((i[ok], j[ok], g[ok]))
+        a, b = a[~done], b[~done]
+        (al, ah), (bl, bh) = children(s, a), children(t, b)
+        wide = (ah - al) * (bh - bl) >= WIDE
+        for k in np.flatnonzero(wide):  # many children each: one product of two matrices
+            for lo in range(al[k], ah[k], 128):
+                x, y = np.arange(lo, min(lo + 128, ah[k])), np.arange(max(lo, bl[k]) if same and a[k] == b[k] else bl[k], bh[k])
+                g = s.x[s.center[x]] @ t.x[t.center[y]].T
+                seen.append(g.size)
+                u, v = np.nonzero(close(x[:, None], y[None, :], g))
+                todo.append(ordered(x[u], y[v]))
+        for k in range(0, len(a), 1 << 14):
+            n = np.flatnonzero(~wide[k : k + (1 << 14)]) + k
+            if len(n):
+                x, y = ordered(*_grid((al[n], ah[n]), (bl[n], bh[n])))
+                ok = close(x, y, dots(s.center[x], t.center[y]))
+                todo.append((x[ok], y[ok]))
+    i, j, g = (np.concatenate(v) if v else np.zeros(0, int) for v in (list(c) for c in zip(*out, strict=True))) if out else (np.zeros(0, int),) * 3
+    edge = np.abs(g - threshold) < 1e-12  # a tie with the limit is decided by a plain double sum
     if edge.any():
         keep = np.ones(len(i), bool)
         keep[edge] = [float(np.sum(s.x[p] * t.x[q])) >= threshold for p, q in zip(i[edge], j[edge], strict=True)]
         i, j = i[keep], j[keep]
-    return i, j
+    return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -143,7 +186,9 @@ def usable(vectors: DataFrame) -> DataFrame:
                 good = label is not None and e.is_valid and len(e.values) and not e.values.null_count
                 if good:
                     x = e.values.to_numpy()
-                    good = np.isfinite(x).all() and x.any() and 0 < float(np.dot(x, x)) < np.inf
+                    good = np.isfinite(x).all() and x.any()
+                if good:  # scaled by a power of two, which is exact, so that no square over- or underflows
+                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
                 vec.append(np.ascontiguousarray(x).tobytes() if good else None)
                 grp.append(f"{label}/{len(x)}" if good else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grp, pa.string()), pa.array(vec, pa.binary())], ["vec_id", "grp", "vec"])

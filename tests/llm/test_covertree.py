@@ -72,3 +72,33 @@ def test_tree_covers_and_nests():
             kids = range(t.first[k], t.last[k])
             assert t.center[k] in t.center[list(kids)]
             assert sorted(np.concatenate([t.order[t.begin[c] : t.end[c]] for c in kids])) == sorted(own)
+
+
+def test_children_lie_apart_and_pruning_saves_distances():
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(40, 16)), 25, axis=0) + r.normal(size=(1000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t, level = covertree.CoverTree(x), {0: 2.0}
+    for k in range(len(t.center)):
+        kids = np.arange(t.first[k], t.last[k])
+        level |= {c: level[k] / 2 for c in kids.tolist()}
+        if len(kids) > 1:
+            gap = 2 - 2 * x[t.center[kids]] @ x[t.center[kids]].T
+            assert np.sqrt(gap[np.triu_indices(len(kids), 1)].min()) > level[k] / 2 - 1e-7
+    seen = []
+    i, j = covertree.dual_pairs(t, t, 0.93, True, seen=seen)
+    g = np.triu(x @ x.T, 1)
+    assert {*zip(i.tolist(), j.tolist())} == {*zip(*(v.tolist() for v in np.nonzero(g >= 0.93)))}
+    assert sum(seen) < 0.25 * len(x) ** 2
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 0.0], 0), (4, [1e-200, 0.0], 0), (5, [1.0, 0.0], 0), (6, [3e-320, 3e-320], 0), (7, [1.7e308, 1.7e308], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 6: (3, 1), 7: (3, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+
+
+def test_clashing_columns_and_string_ids(spark):
+    rows = [("a", [1.0, 0.0], 0), ("b", [1.0, 0.01], 0), (None, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int").selectExpr("*", "1 as h1", "2 as grp", "3 as vec", "4 as n_links", "5 as cell")
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in covertree.near_dedup(df).collect()) == [("None", 0, "None"), ("a", 1, "a"), ("b", 1, "a")]
