@@ -236,9 +236,11 @@ def labelled_dataset(fires: DataFrame, targets: DataFrame, ring, lat_range, lon_
 
 def conflicts(points: DataFrame, km: float, days: int) -> DataFrame:
     """``a, b`` in both directions: points nearer than ``km`` and at most ``days`` apart."""
-    p = points.select("latitude", "longitude", F.col("event_id").alias("a"), F.col("acq_date").alias("da"))
-    q = points.select("latitude", "longitude", F.col("event_id").alias("b"), F.col("acq_date").alias("db"))
-    d = near_pairs(p, q, km).where((F.col("a") != F.col("b")) & (F.col("km") < km) & (F.abs(F.datediff("da", "db")) <= days))
+    # days are part of the key: buckets of days + 1, each point in its own and the left one in its neighbours' too
+    bucket = F.floor(F.unix_date("acq_date") / (days + 1))
+    p = points.select("latitude", "longitude", F.col("event_id").alias("a"), F.col("acq_date").alias("da"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("ka"))
+    q = points.select("latitude", "longitude", F.col("event_id").alias("b"), F.col("acq_date").alias("db"), bucket.alias("kb"))
+    d = near_pairs(p, q, km, F.col("ka") == F.col("kb")).where((F.col("a") != F.col("b")) & (F.col("km") < km) & (F.abs(F.datediff("da", "db")) <= days))
     return d.select("a", "b")
 
 

@@ -36,8 +36,9 @@ def r6(x) -> F.Column:
     return F.round(geo.col(x), 6)
 
 
-def _day(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select date '{DAY}' as target_date")
+def _dates(fires: DataFrame) -> DataFrame:
+    """Every date with a fire."""
+    return fires.select(F.col("acq_date").alias("target_date")).distinct()
 
 
 def _days(spark: SparkSession) -> DataFrame:
@@ -46,18 +47,19 @@ def _days(spark: SparkSession) -> DataFrame:
 
 # ---- points ----
 
-_FRESH = f"""day AS (SELECT * FROM fires f WHERE acq_date = DATE '{DAY}' AND {X.inside_sql('f')}),
-fresh AS (SELECT * FROM day c WHERE NOT EXISTS (SELECT 1 FROM fires p WHERE p.acq_date >= DATE '{DAY}' - 15 AND p.acq_date < DATE '{DAY}' AND {X.km_sql('c', 'p')} <= 20)),
-q AS (SELECT quantile_cont(frp, 0.0) q0, quantile_cont(frp, 1/3) q1, quantile_cont(frp, 2/3) q2, quantile_cont(frp, 1.0) q3 FROM fresh),
-strata AS (SELECT f.*, CASE WHEN frp <= q1 THEN 'small' WHEN frp <= q2 THEN 'medium' ELSE 'large' END AS frp_bin FROM fresh f, q WHERE q0 < q1 AND q1 < q2 AND q2 < q3)"""
+_FRESH = f"""day AS (SELECT * FROM fires f WHERE {X.inside_sql('f')}),
+fresh AS (SELECT * FROM day c WHERE NOT EXISTS (SELECT 1 FROM fires p WHERE p.acq_date >= c.acq_date - 15 AND p.acq_date < c.acq_date AND {X.km_sql('c', 'p')} <= 20)),
+q AS (SELECT acq_date, quantile_cont(frp, 0.0) q0, quantile_cont(frp, 1/3) q1, quantile_cont(frp, 2/3) q2, quantile_cont(frp, 1.0) q3 FROM fresh GROUP BY 1),
+strata AS (SELECT f.*, CASE WHEN frp <= q1 THEN 'small' WHEN frp <= q2 THEN 'medium' ELSE 'large' END AS frp_bin FROM fresh f JOIN q USING (acq_date) WHERE q0 < q1 AND q1 < q2 AND q2 < q3)"""
 
 
 def _fresh(spark, sf_dir):
-    fires, t = X.fires(spark, sf_dir), _day(spark)
+    fires = X.fires(spark, sf_dir)
+    t = _dates(fires)
     return P.fresh(P.fires_of_day(fires, t, X.RING), fires, t)
 
 
-@query(f"WITH {X.FIRES_SQL}, {X.RING_SQL}, {_FRESH} SELECT event_id, frp_bin, frp, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY frp_bin ORDER BY frp DESC, event_id) n FROM strata) WHERE n = 1")
+@query(f"WITH {X.FIRES_SQL}, {X.RING_SQL}, {_FRESH} SELECT event_id, frp_bin, frp, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM (SELECT *, row_number() OVER (PARTITION BY acq_date, frp_bin ORDER BY frp DESC, event_id) n FROM strata) WHERE n = 1")
 def fresh_ignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = P.strata(_fresh(spark, sf_dir))
     return P.best_per_group(rows, ["target_date", "frp_bin"], "frp").select("event_id", "frp_bin", "frp", r6("latitude").alias("latitude"), r6("longitude").alias("longitude"))
@@ -68,10 +70,10 @@ def frp_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.strata(_fresh(spark, sf_dir))[0].select("event_id", "frp_bin", "frp")
 
 
-@query(f"""WITH {X.FIRES_SQL}, {X.RING_SQL}, q AS (SELECT acq_date AS target_date, count(*) AS n, quantile_cont(frp, [0.0, 1/3, 2/3, 1.0]) q FROM fires f WHERE {X.inside_sql('f')} AND event_id % 40 = 0 GROUP BY 1)
+@query(f"""WITH {X.FIRES_SQL}, {X.RING_SQL}, q AS (SELECT acq_date AS target_date, count(*) AS n, quantile_cont(frp, [0.0, 1/3, 2/3, 1.0]) q FROM fires f WHERE {X.inside_sql('f')} GROUP BY 1)
 SELECT target_date, n, CASE WHEN q[1] < q[2] AND q[2] < q[3] AND q[3] < q[4] THEN 'ok' ELSE 'no_strata' END AS status FROM q""")
 def strata_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.fires(spark, sf_dir).where(geo.in_ring("latitude", "longitude", X.RING)).where("event_id % 40 = 0").withColumnRenamed("acq_date", "target_date")
+    d = X.fires(spark, sf_dir).where(geo.in_ring("latitude", "longitude", X.RING)).withColumnRenamed("acq_date", "target_date")
     return P.strata(d)[1]
 
 
@@ -111,23 +113,23 @@ def day_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.day_offset(X.fires(spark, sf_dir)).select("event_id", F.col("acq_date").cast("long").alias("acq_date"))
 
 
-_CANDIDATES = "SELECT event_id, latitude + 0.3 + (event_id % 7)*0.07 AS latitude, longitude + 0.2 AS longitude FROM fires WHERE acq_date = DATE '2024-01-16'"
+_CANDIDATES = "SELECT event_id, acq_date, latitude + 0.3 + (event_id % 7)*0.07 AS latitude, longitude + 0.2 AS longitude FROM fires"
 
 
-@query(f"WITH {X.FIRES_SQL}, c AS ({_CANDIDATES}) SELECT event_id, round(latitude, 6) AS latitude FROM c WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE f.acq_date BETWEEN DATE '{DAY}' - 15 AND DATE '{DAY}' + 15 AND {X.km_sql('c', 'f')} <= 25)")
+@query(f"WITH {X.FIRES_SQL}, c AS ({_CANDIDATES}) SELECT event_id, round(latitude, 6) AS latitude FROM c WHERE NOT EXISTS (SELECT 1 FROM fires f WHERE f.acq_date BETWEEN c.acq_date - 15 AND c.acq_date + 15 AND {X.km_sql('c', 'f')} <= 25)")
 def safe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fires, t = X.fires(spark, sf_dir), _day(spark)
-    c = fires.where(F.col("acq_date") == F.lit(DAY).cast("date")).select("event_id", (F.col("latitude") + 0.3 + (F.col("event_id") % 7) * 0.07).alias("latitude"), (F.col("longitude") + 0.2).alias("longitude"), F.lit(DAY).cast("date").alias("target_date"))
-    return P.safe(c, fires, t).select("event_id", r6("latitude").alias("latitude"))
+    fires = X.fires(spark, sf_dir)
+    c = fires.select("event_id", (F.col("latitude") + 0.3 + (F.col("event_id") % 7) * 0.07).alias("latitude"), (F.col("longitude") + 0.2).alias("longitude"), F.col("acq_date").alias("target_date"))
+    return P.safe(c, fires, _dates(fires)).select("event_id", r6("latitude").alias("latitude"))
 
 
-@query(f"WITH {X.FIRES_SQL}, w AS (SELECT * FROM fires WHERE acq_date BETWEEN DATE '{DAY}' - 15 AND DATE '{DAY}' + 15) SELECT a.event_id, round(min({X.km_sql('a', 'b')}), 6) AS km FROM fires a, w b WHERE a.acq_date = DATE '{DAY}' AND b.event_id <> a.event_id AND {X.km_sql('a', 'b')} <= 60 GROUP BY 1")
+@query(f"WITH {X.FIRES_SQL} SELECT a.event_id, round(min({X.km_sql('a', 'b')}), 6) AS km FROM fires a, fires b WHERE b.acq_date BETWEEN a.acq_date - 15 AND a.acq_date + 15 AND b.event_id <> a.event_id AND {X.km_sql('a', 'b')} <= 60 GROUP BY 1")
 def nearest_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the nearest other fire of the window, up to 60 km."""
-    fires, t = X.fires(spark, sf_dir), _day(spark)
-    a = fires.where(F.col("acq_date") == F.lit(DAY).cast("date")).select("event_id", "latitude", "longitude")
-    b = P.window_fires(fires, t).select(F.col("event_id").alias("other"), "latitude", "longitude")
-    return P.near_pairs(a, b, 60.0).where("other <> event_id").groupBy("event_id").agg(r6(F.min("km")).alias("km"))
+    fires = X.fires(spark, sf_dir)
+    a = fires.select("event_id", "latitude", "longitude", F.col("acq_date").alias("da"))
+    b = P.window_fires(fires, _dates(fires)).select(F.col("event_id").alias("other"), "latitude", "longitude", F.col("target_date").alias("db"))
+    return P.near_pairs(a, b, 60.0, F.col("da") == F.col("db")).where("other <> event_id").groupBy("event_id").agg(r6(F.min("km")).alias("km"))
 
 
 @query(f"WITH {X.FIRES_SQL} SELECT acq_date, event_id, bright_ti4 FROM (SELECT *, row_number() OVER (PARTITION BY acq_date ORDER BY bright_ti4 DESC, event_id) n FROM fires) WHERE n = 1")
@@ -135,21 +137,23 @@ def brightest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.best_per_group(X.fires(spark, sf_dir), ["acq_date"], "bright_ti4").select("acq_date", "event_id", "bright_ti4")
 
 
-@query(f"WITH {X.FIRES_SQL}, t AS (SELECT DATE '2024-01-01' + CAST(i*5 AS INT) AS target_date FROM range(0, 8) r(i)) SELECT target_date, coalesce(CAST(trunc(median(acq_time)) AS INT), 1900) AS median_time FROM t LEFT JOIN fires ON acq_date = target_date AND event_id % 20 = 0 GROUP BY 1")
+@query(f"WITH {X.FIRES_SQL}, t AS (SELECT DATE '2024-01-01' + CAST(i AS INT) AS target_date FROM range(0, 366) r(i)) SELECT target_date, coalesce(CAST(trunc(median(acq_time)) AS INT), 1900) AS median_time FROM t LEFT JOIN fires ON acq_date = target_date GROUP BY 1")
 def median_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql("select date_add(date '2024-01-01', cast(id*5 as int)) as target_date from range(0, 8)")
-    return P.median_time(X.fires(spark, sf_dir).where("event_id % 20 = 0").withColumnRenamed("acq_date", "target_date"), t)
+    t = spark.sql("select date_add(date '2024-01-01', cast(id as int)) as target_date from range(0, 366)")
+    return P.median_time(X.fires(spark, sf_dir).withColumnRenamed("acq_date", "target_date"), t)
 
 
-@query(f"""WITH RECURSIVE {X.FIRES_SQL}, d AS (SELECT * FROM fires WHERE acq_date = DATE '{DAY}'),
-n AS (SELECT a.event_id AS a, b.event_id AS b FROM d a, d b WHERE {X.km_sql('a', 'b')} <= 0.012*6371.0),
+@query(f"""WITH RECURSIVE {X.FIRES_SQL},
+n AS (SELECT a.event_id AS a, b.event_id AS b FROM fires a JOIN fires b ON a.acq_date = b.acq_date AND {X.km_sql('a', 'b')} <= 0.012*6371.0),
 core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5),
-reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, n.b FROM reach r JOIN n ON n.a = r.b WHERE n.b IN (SELECT a FROM core)),
+cn AS (SELECT n.a, n.b FROM n SEMI JOIN core x ON x.a = n.a SEMI JOIN core y ON y.a = n.b),
+reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, cn.b FROM reach r JOIN cn ON cn.a = r.b),
 lab AS (SELECT a, min(b) AS label FROM reach GROUP BY a),
-own AS (SELECT d.event_id, coalesce((SELECT label FROM lab WHERE lab.a = d.event_id), (SELECT min(label) FROM lab JOIN n ON n.b = lab.a WHERE n.a = d.event_id)) AS label FROM d)
-SELECT event_id, CAST(CASE WHEN label IS NULL THEN 100000 + row_number() OVER (PARTITION BY label IS NULL ORDER BY event_id) - 1 ELSE dense_rank() OVER (PARTITION BY label IS NULL ORDER BY label) - 1 END AS INT) AS cluster_id FROM own""")
+edge AS (SELECT n.a, min(label) AS label FROM n JOIN lab ON n.b = lab.a GROUP BY 1),
+own AS (SELECT f.event_id, f.acq_date, coalesce(lab.label, edge.label) AS label FROM fires f LEFT JOIN lab ON lab.a = f.event_id LEFT JOIN edge ON edge.a = f.event_id)
+SELECT event_id, CAST(CASE WHEN label IS NULL THEN 100000 + row_number() OVER (PARTITION BY acq_date, label IS NULL ORDER BY event_id) - 1 ELSE dense_rank() OVER (PARTITION BY acq_date, label IS NULL ORDER BY label) - 1 END AS INT) AS cluster_id FROM own""")
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dbscan(P.fires_of_day(X.fires(spark, sf_dir), _day(spark))).select("event_id", "cluster_id")
+    return P.dbscan(X.fires(spark, sf_dir).withColumnRenamed("acq_date", "target_date")).select("event_id", "cluster_id")
 
 
 @query()
@@ -186,12 +190,12 @@ def conflict_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.conflicts(X.fires(spark, sf_dir), 20.0, 15).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {X.FIRES_SQL} SELECT event_id FROM fires a WHERE acq_date = DATE '{DAY}' AND NOT EXISTS (SELECT 1 FROM fires b WHERE b.acq_date = DATE '{DAY}' - 1 AND {X.km_sql('a', 'b')} < 35)")
+@query(f"WITH {X.FIRES_SQL} SELECT event_id FROM fires a WHERE NOT EXISTS (SELECT 1 FROM fires b WHERE b.acq_date = a.acq_date - 1 AND {X.km_sql('a', 'b')} < 35)")
 def quiet_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict form of the distance anti join, on one side of the date."""
     f = X.fires(spark, sf_dir)
-    a, b = (f.where(F.col("acq_date") == F.date_sub(F.lit(DAY).cast("date"), k)) for k in (0, 1))
-    return anti_near(a.select("event_id", "latitude", "longitude"), b.select("latitude", "longitude"), 35.0, False).select("event_id")
+    b = f.select("latitude", "longitude", F.date_add("acq_date", 1).alias("next"))
+    return anti_near(f.select("event_id", "latitude", "longitude", "acq_date"), b, 35.0, False, F.col("acq_date") == F.col("next")).select("event_id")
 
 
 # ---- statistics ----
@@ -211,7 +215,7 @@ def knox_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORDER = "((event_id*7919 + iter*104729) % 100003)"
-_MORAN = f"""s AS (SELECT * FROM (SELECT p.*, iter, row_number() OVER (PARTITION BY iter ORDER BY {_ORDER}, event_id) n FROM points p, range(0, 4) r(iter)) WHERE n <= 150),
+_MORAN = f"""s AS (SELECT * FROM (SELECT p.*, iter, row_number() OVER (PARTITION BY iter ORDER BY {_ORDER}, event_id) n FROM points p, range(0, 4) r(iter)) WHERE n <= (SELECT least(1000, count(*) // 2) FROM points)),
 z AS (SELECT *, is_fire - avg(is_fire) OVER (PARTITION BY iter) AS z FROM s),
 k AS (SELECT a.iter, a.event_id a, b.z zb, row_number() OVER (PARTITION BY a.iter, a.event_id ORDER BY pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2), b.event_id) n FROM z a JOIN z b ON a.iter = b.iter AND a.event_id <> b.event_id),
 l AS (SELECT iter, a, avg(zb) lag FROM k WHERE n <= 5 GROUP BY 1, 2),
@@ -224,13 +228,29 @@ def _order():
 
 @query(f"WITH {X.POINTS_SQL}, {_MORAN} SELECT iter, round(i, 6) AS moran_i FROM m")
 def moran_i(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.subsets(X.points(spark, sf_dir), 150, 4, _order())
+    p = X.points(spark, sf_dir)
+    s = stats.subsets(p, min(1000, p.count() // 2), 4, _order())
     return stats.morans_i(s).select(F.col("iter").cast("long").alias("iter"), r6("moran_i").alias("moran_i"))
 
 
 @query(f"WITH {X.POINTS_SQL}, {_MORAN} SELECT event_id, is_fire FROM s WHERE iter = (SELECT iter FROM m ORDER BY abs(i), iter LIMIT 1)")
 def moran_best_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.best_subset(X.points(spark, sf_dir), 150, 4, order=_order())[0].select("event_id", "is_fire")
+    p = X.points(spark, sf_dir)
+    return stats.best_subset(p, min(1000, p.count() // 2), 4, order=_order())[0].select("event_id", "is_fire")
+
+
+@query()
+def moran_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search at its own size, 300 iterations of 1,000 points (half of the points where there are fewer): Moran's I of each."""
+    p = X.points(spark, sf_dir)
+    return stats.best_subset(p, min(1000, p.count() // 2))[1].select("iter", r6("moran_i").alias("moran_i"), "n")
+
+
+@query()
+def moran_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation p of one subset."""
+    p = X.points(spark, sf_dir)
+    return stats.permutation_p(stats.subsets(p, min(1000, p.count() // 2), 1, _order()).drop("iter"))
 
 
 @query(f"WITH {X.DEM_SQL} SELECT scene_id, round(min(z), 6) AS min, round(max(z), 6) AS max, round(avg(z), 6) AS mean, round(median(z), 6) AS median, round(quantile_cont(z, 0.99), 6) AS p99, round(sum(z), 6) AS sum, round(avg(CASE WHEN z > 25 THEN 1.0 ELSE 0.0 END), 6) AS share_above, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf FROM dem GROUP BY 1")
@@ -365,6 +385,31 @@ def population_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.population_pressure(X.population(spark, sf_dir), short_px=3, long_px=4).select(*R.CELL, r6("pressure").alias("pressure"))
 
 
+@query()
+def population_pressure_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the operator's own radii: one transform a scene."""
+    return R.population_pressure(X.population(spark, sf_dir)).select(*R.CELL, r6("pressure").alias("pressure"))
+
+
+_GRID30 = 'g AS (SELECT 0 AS scene_id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, (65.0 + 10.0*(c + 0.5))/30.0 AS u, (1500.0 - (1400.0 - 10.0*(r + 0.5)))/30.0 AS v FROM range(0, 60) a(r), range(0, 80) b(c))'
+_WARP = ", ".join(f"round(sum(w*{n})/sum(w), 6) AS {n}" for n in ("elevation", "slope", "northness", "eastness"))
+
+
+@query(f"""WITH {X.DEM_SQL}, n AS (SELECT scene_id, "row", col, z,
+ (coalesce(lead(z) OVER v, z) - coalesce(lag(z) OVER v, z))/((CASE WHEN lag(z) OVER v IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER v IS NULL THEN 0 ELSE 1 END)*30.0) AS s,
+ (coalesce(lead(z) OVER h, z) - coalesce(lag(z) OVER h, z))/((CASE WHEN lag(z) OVER h IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER h IS NULL THEN 0 ELSE 1 END)*30.0) AS e
+ FROM dem WINDOW v AS (PARTITION BY scene_id, col ORDER BY "row"), h AS (PARTITION BY scene_id, "row" ORDER BY col)),
+t AS (SELECT "row", col, z AS elevation, degrees(atan(sqrt(e*e + s*s))) AS slope, CASE WHEN degrees(atan(sqrt(e*e + s*s))) < 0.1 THEN 0 ELSE s/sqrt(e*e + s*s) END AS northness, CASE WHEN degrees(atan(sqrt(e*e + s*s))) < 0.1 THEN 0 ELSE -e/sqrt(e*e + s*s) END AS eastness FROM n), {_GRID30},
+k AS (SELECT g.scene_id, g."row", g.col, t.elevation, t.slope, t.northness, t.eastness, (1 - abs(v - 0.5 - t."row"))*(1 - abs(u - 0.5 - t.col)) AS w FROM g JOIN t ON abs(v - 0.5 - t."row") < 1 AND abs(u - 0.5 - t.col) < 1)
+SELECT scene_id, "row", col, {_WARP} FROM k GROUP BY 1, 2, 3 HAVING sum(w) > 0""")
+def terrain_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terrain on its native 30 m lattice, then brought to the 10 m scene grid."""
+    d = X.dem(spark, sf_dir)
+    t = R.target_cells(d.select("scene_id").limit(1), 60, 80)
+    got = R.aligned_terrain(d, t, [30.0, 0.0, 0.0, 0.0, -30.0, 1500.0], [10.0, 0.0, 65.0, 0.0, -10.0, 1400.0])
+    return got.where("not isnan(elevation)").select(*R.CELL, *(r6(n).alias(n) for n in R.TERRAIN))
+
+
 @query()
 def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.passability(X.scene_cells(spark, sf_dir)).withColumn("source", F.col("road"))

@@ -44,7 +44,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id < 400").selectExpr("event_id as target_id", "event_id % 50 as tile", "cast(date_add(date '1995-02-01', cast(event_id*37 % 2300 as int)) as timestamp_ntz) as ts")
+    return table(spark, sf_dir, "events").selectExpr("event_id as target_id", "event_id % 50 as tile", "cast(date_add(date '1995-02-01', cast(event_id*37 % 2300 as int)) as timestamp_ntz) as ts")
 
 
 def soil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def soil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey < 1000").selectExpr("0 as scene_id", "cast(c_custkey div 40 as int) as row", "cast(c_custkey % 40 as int) as col", "cast(c_acctbal as double) as value")
+    return table(spark, sf_dir, "customer").selectExpr("0 as scene_id", "cast(c_custkey div 40 as int) as row", "cast(c_custkey % 40 as int) as col", "cast(c_acctbal as double) as value")
 
 
 FIRES_SQL = """fires AS (
@@ -68,8 +68,8 @@ DEM_SQL = "dem AS (SELECT 0 AS scene_id, CAST(p_partkey // 40 AS INT) AS \"row\"
 CELLS_SQL = DEM_SQL + """, cells AS (SELECT scene_id, "row", col, CASE WHEN ("row"*col) % 97 = 5 THEN 'NaN'::DOUBLE ELSE z END AS z, CASE WHEN ("row"*7 + col*3) % 11 = 0 THEN 1 ELSE 0 END AS water,
   CASE WHEN ("row" + col) % 13 = 0 THEN 6 ELSE 4 END AS scl, CASE WHEN "row" % 10 = 5 AND col % 6 = 0 THEN 1 ELSE 0 END AS bridge, CASE WHEN "row" = 10 OR col = 20 THEN 1 ELSE 0 END AS road FROM dem)"""
 CATALOG_SQL = """catalog AS (SELECT o_orderkey AS item_id, o_custkey % 50 AS tile, CAST(o_orderdate AS TIMESTAMP) AS ts, CAST(o_orderkey*37 % 100 AS DOUBLE) AS cloud_cover FROM orders),
-targets AS (SELECT event_id AS target_id, event_id % 50 AS tile, CAST(DATE '1995-02-01' + CAST(event_id*37 % 2300 AS INT) AS TIMESTAMP) AS ts FROM events WHERE event_id < 400)"""
-POPULATION_SQL = "population AS (SELECT 0 AS scene_id, CAST(c_custkey // 40 AS INT) AS \"row\", CAST(c_custkey % 40 AS INT) AS col, CAST(c_acctbal AS DOUBLE) AS value FROM customer WHERE c_custkey < 1000)"
+targets AS (SELECT event_id AS target_id, event_id % 50 AS tile, CAST(DATE '1995-02-01' + CAST(event_id*37 % 2300 AS INT) AS TIMESTAMP) AS ts FROM events)"""
+POPULATION_SQL = "population AS (SELECT 0 AS scene_id, CAST(c_custkey // 40 AS INT) AS \"row\", CAST(c_custkey % 40 AS INT) AS col, CAST(c_acctbal AS DOUBLE) AS value FROM customer)"
 
 
 def km_sql(a: str, b: str) -> str:
