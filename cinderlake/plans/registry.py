@@ -17,7 +17,6 @@ from ..operators.nearby import anti_near
 from ..sources import fixtures as X
 from . import scene_layers
 
-DAY = "2024-01-16"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
