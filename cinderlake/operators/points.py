@@ -4,13 +4,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from ..functions.geo import EARTH_KM, in_ring, offset, unit_hash
+from ..functions.geo import EARTH_KM, haversine, in_ring, offset, unit_hash
 from ..functions.session import cut, ship
 from .graph import first_independent_set, min_labels
 from .nearby import anti_near, near_pairs
@@ -60,21 +62,102 @@ def safe(candidates: DataFrame, fires: DataFrame, targets: DataFrame, km: float
     return anti_near(candidates, near, km, True, _same_date())
 
 
+def _fine_cells(points: DataFrame, eps: float) -> DataFrame:
+    """Points with ``cell`` (any two of one cell are within ``eps`` radians) and ``u``, ``v``, the place inside it in 0..1."""
+    side = 2 * np.sin(min(eps, np.pi) / 2) / np.sqrt(2) * 0.9999  # hav <= (side / 2)^2 * 2 < sin(eps / 2)^2
+    y = F.radians(F.col("latitude") + 90.0) / side
+    i = F.floor(y)
+    near = F.when((i * side < np.pi / 2) & ((i + 1) * side > np.pi / 2), 0.0).otherwise(F.least(F.abs(i * side - np.pi / 2), F.abs((i + 1) * side - np.pi / 2)))
+    x = F.radians(F.col("longitude")) / (side / F.greatest(F.cos(near), F.lit(1e-6)))
+    j = F.floor(x)
+    return points.withColumns({"cell": F.struct(i.alias("i"), j.alias("j")), "u": y - i, "v": x - j})
+
+
+def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, id`` (the smallest event id) and the bounds ``s, t, w, e`` of each group's points."""
+    return points.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("event_id").alias("id"), F.min("latitude").alias("s"), F.max("latitude").alias("t"), F.min("longitude").alias("w"), F.max("longitude").alias("e")
+    )
+
+
+def _box_km(p: str, q: str) -> tuple[Column, Column]:
+    """Least and largest distance that points of two boxes can have (bounds, not attained)."""
+    c = lambda x, n: F.radians(F.col(x + n))
+    flat = lambda x: F.when((c(x, "s") <= 0) & (c(x, "t") >= 0), 0.0).otherwise(F.least(F.abs(c(x, "s")), F.abs(c(x, "t"))))
+    steep = lambda x: F.greatest(F.abs(c(x, "s")), F.abs(c(x, "t")))
+    up = F.greatest(F.lit(0.0), c(p, "s") - c(q, "t"), c(q, "s") - c(p, "t"))
+    turn = lambda k: F.greatest(F.lit(0.0), c(p, "w") - c(q, "e") + k, c(q, "w") - c(p, "e") - k)
+    east = F.least(*(turn(F.lit(k * 2 * np.pi)) for k in (-1, 0, 1)))
+    far_up = F.greatest(c(p, "t") - c(q, "s"), c(q, "t") - c(p, "s"))
+    span = lambda k: F.greatest(c(p, "e") - c(q, "w") + k, c(q, "e") - c(p, "w") - k)
+    far_east = F.least(*(span(F.lit(k * 2 * np.pi)) for k in (-1, 0, 1)), F.lit(np.pi))
+    dist = lambda a, b, f: 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), F.pow(F.sin(a / 2), 2) + F.cos(f(p)) * F.cos(f(q)) * F.pow(F.sin(b / 2), 2))))
+    return dist(up, east, steep), dist(far_up, far_east, flat)
+
+
+def _touching(points: DataFrame, boxes: DataFrame, km: float, levels: int = 5, few: int = 4096) -> DataFrame:
+    """``a, b``: nodes of crowded cells that hold points within ``km`` of each other (``a`` < ``b``).
+
+    Bounds of the cells' boxes decide most pairs. Of the others, those of at most ``few`` pairs of points are measured; larger ones
+    are split into pairs of smaller boxes, eight to a side each time, until one is near enough or ``levels`` are done.
+    """
+    bounds = ("n", "s", "t", "w", "e")
+    part = lambda n: F.concat_ws(",", F.floor(F.col("u") * 8**n), F.floor(F.col("v") * 8**n)) if n else F.lit("")
+    low, high = _box_km("a", "b")
+    state = F.when(high <= km * (1 - 1e-9), 1).when(low > km * (1 + 1e-9), -1).otherwise(0).alias("state")
+    columns = ["a", "b", "x", "y", state, (F.col("an") * F.col("bn") <= few).alias("few")]
+
+    def measured(pairs, level):
+        at = points.select("node", part(level).alias("cell"), "latitude", "longitude").distinct()  # copies of a place count once
+        place = lambda a, x: at.select(F.col("node").alias(a), F.col("cell").alias(x), F.col("latitude").alias(a + "lat"), F.col("longitude").alias(a + "lon"))
+        d = pairs.select("a", "b", "x", "y").join(place("a", "x"), ["a", "x"]).join(place("b", "y"), ["b", "y"])
+        return d.where(haversine("alat", "alon", "blat", "blon") <= km).select("a", "b").distinct()
+
+    side = lambda x: boxes.select(((F.col("s") + F.col("t")) / 2).alias("latitude"), ((F.col("w") + F.col("e")) / 2).alias("longitude"), F.col("k").alias("k" + x), F.col("id").alias(x), *(F.col(c).alias(x + c) for c in bounds))
+    # a centre is within km of its cell's points
+    found = near_pairs(side("a"), side("b"), 3 * km, F.col("ka") == F.col("kb")).where("a < b").withColumns({"x": F.lit(""), "y": F.lit("")})
+    met = []
+    for level in range(levels + 1):
+        found = cut(found.select(*columns).where("state >= 0"))
+        met.append(found.where("state = 1").select("a", "b").distinct())
+        left = cut(found.where("state = 0").join(met[-1], ["a", "b"], "left_anti"))
+        small = left if level == levels else left.where("few")
+        met.append(measured(small, level))
+        left = left.where("not few")
+        if level == levels or not left.limit(1).count():
+            break
+        own = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+        split = cut(_boxes(points.join(own, "node", "left_semi").withColumns({"old": part(level), "new": part(level + 1)}), ["node", "old", "new"]))
+        child = lambda a, x: split.select(F.col("node").alias(a), F.col("old").alias(x), F.col("new").alias("n" + x), *(F.col(c).alias(a + c) for c in bounds))  # noqa: B023, E731
+        found = left.select("a", "b", "x", "y").join(child("a", "x"), ["a", "x"]).join(child("b", "y"), ["b", "y"]).drop("x", "y").withColumnsRenamed({"nx": "x", "ny": "y"})
+    return reduce(DataFrame.unionByName, met)
+
+
 def dbscan(points: DataFrame, eps: float = 0.012, min_points: int = 5, key: str = "target_date") -> DataFrame:
     """Points with ``cluster_id``: density clusters on the sphere (eps in radians), numbered from 0 by their lowest core
     point within each ``key``; noise points are singletons 100000, 100001, ... in order of id.
 
-    A border point belongs to the adjacent cluster with the lowest number, as in a sequential scan.
+    A border point belongs to the adjacent cluster with the lowest number, as in a sequential scan. Cells are so small
+    that points of one cell are neighbours. A cell of ``min_points`` or more is all core and one node of the cluster graph;
+    only pairs with a point of another cell's sparse few are written out, and crowded cells are compared by boxes.
     """
     km = eps * EARTH_KM
-    p = points.select("latitude", "longitude", F.col("event_id").alias("a"), F.col(key).alias("ka"))
-    q = points.select("latitude", "longitude", F.col("event_id").alias("b"), F.col(key).alias("kb"))
-    pairs = cut(near_pairs(p, q, km, F.col("ka") == F.col("kb")).select("a", "b"))
+    p = cut(_fine_cells(points.select("event_id", "latitude", "longitude", F.col(key).alias("k")), eps))
+    boxes = cut(_boxes(p, ["k", "cell"]).where(F.col("n") >= min_points))
+    p = p.join(boxes.select("k", "cell", F.col("id").alias("node")), ["k", "cell"], "left")  # node: of a crowded cell
+    # pairs with a point of a sparse cell: each point has few of them around, however crowded its own cell is
+    left = p.where("node is null").select("latitude", "longitude", F.col("event_id").alias("a"), F.col("k").alias("ka"))
+    right = p.select("latitude", "longitude", F.col("event_id").alias("b"), F.col("k").alias("kb"), F.col("node").alias("nb"))
+    pairs = cut(near_pairs(left, right, km, F.col("ka") == F.col("kb")).select("a", "b", "nb"))
     core = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("a"))
-    with_core = cut(pairs.join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))  # (any point, core neighbour)
-    edges = with_core.join(core, "a", "left_semi").select("a", "b")
-    labels = min_labels(core.withColumnRenamed("a", "id"), edges)
-    near_label = with_core.join(labels, with_core.b == labels.id).groupBy("a").agg(F.min("label").alias("label"))
+    lone = core.select(F.col("a").alias("b"), F.col("a").alias("c"))
+    with_core = cut(pairs.join(lone, "b", "left").select("a", F.coalesce("nb", "c").alias("b")).where("b is not null").distinct())  # (sparse point, node of a core neighbour)
+    edges = with_core.join(core, "a", "left_semi").unionByName(_touching(p.where("node is not null"), boxes, km))
+    edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    node = min_labels(core.select(F.col("a").alias("id")).unionByName(boxes.select("id")), edges)
+    near_label = with_core.join(node, with_core.b == node.id).groupBy("a").agg(F.min("label").alias("label"))
+    labels = core.select(F.col("a").alias("id"), F.col("a").alias("n")).unionByName(p.where("node is not null").select(F.col("event_id").alias("id"), F.col("node").alias("n")))
+    labels = labels.join(node.withColumnRenamed("id", "n"), "n").select("id", "label")
     own = labels.select(F.col("id").alias("core_id"), F.col("label").alias("core_label"))
     d = points.join(near_label, points.event_id == near_label.a, "left").join(own, points.event_id == own.core_id, "left")
     d = d.withColumn("__label", F.coalesce("core_label", "label")).drop("a", "label", "core_id", "core_label")

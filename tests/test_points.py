@@ -66,6 +66,32 @@ def test_dbscan_equals_a_sequential_scan(spark):
         assert any(r[3] < 100_000 for r in rows) and any(r[3] >= 100_000 for r in rows)
 
 
+@pytest.mark.parametrize("where", [(50.0, -100.0), (0.0, 179.9), (84.0, 10.0)])
+def test_dbscan_with_crowded_cells(spark, where):
+    """Blobs far denser than the radius, some just within it of each other and some just beyond; copies of one place."""
+    r = np.random.default_rng(3)
+    eps = 0.01
+    deg = math.degrees(eps)
+    lat, lon = [], []
+    for k, gap in enumerate((0.0, 1.02, 2.01, 3.3, 4.2, 5.19, 7.0)):
+        n = (90, 60, 40, 70, 8, 50, 30)[k]
+        lat += list(where[0] + r.uniform(-0.02, 0.02, n) * deg)
+        lon += list(where[1] + (gap + r.uniform(-0.02, 0.02, n)) * deg / math.cos(math.radians(where[0])))
+    lat += list(where[0] + r.uniform(-3, 3, 60) * deg) + [where[0] + 3.5 * deg] * 20
+    lon += list(where[1] + r.uniform(-1, 8, 60) * deg / math.cos(math.radians(where[0]))) + [where[1]] * 20
+    at = r.permutation(len(lat))
+    rows = [(1, i, float(lat[j]), (float(lon[j]) + 180) % 360 - 180) for i, j in enumerate(at)]
+    d = spark.createDataFrame(rows, "target_date int, event_id bigint, latitude double, longitude double")
+    got = {x.event_id: x.cluster_id for x in P.dbscan(d, eps).collect()}
+    p = P._fine_cells(d.withColumnRenamed("target_date", "k"), eps)
+    boxes = P._boxes(p, ["k", "cell"]).where("n >= 5")
+    nodes = p.join(boxes.select("cell", F.col("id").alias("node")), "cell")
+    pairs = [{tuple(x) for x in P._touching(nodes, boxes, eps * 6371.0, few=few).select("a", "b").collect()} for few in (1, 4096)]
+    assert pairs[0] == pairs[1] != set()
+    want = sequential_dbscan([x[2:] for x in rows], eps, 5)
+    assert [got[i] for i in range(len(rows))] == want and len({w for w in want if w < 100_000}) > 1
+
+
 @pytest.mark.parametrize("limit,days", [(20.0, 15), (60.0, 3)])
 def test_thinning_equals_a_sequential_pass(spark, limit, days):
     p = X.points(spark, SF).where("event_id < 6000")
