@@ -184,6 +184,17 @@ def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.thin(X.points(spark, sf_dir), 20.0, 15).select("event_id", "acq_date", "is_fire")
 
 
+# a point is out once an earlier one about it is in, and in once all of them are out
+@query(f"""WITH RECURSIVE {X.POINTS_SQL}, f AS (SELECT *, event_id*7919 % 1009 AS pr FROM points),
+e AS (SELECT a.event_id AS a, b.event_id AS b FROM f a JOIN f b ON (b.pr, b.event_id) < (a.pr, a.event_id) AND abs(date_diff('day', a.acq_date, b.acq_date)) <= 15 AND {X.km_sql('a', 'b')} < 40),
+w(k, id, st) AS (SELECT 0, event_id, 'open' FROM f
+ UNION ALL SELECT w.k + 1, w.id, CASE WHEN w.st <> 'open' THEN w.st WHEN bool_or(n.st = 'in') THEN 'out' WHEN bool_or(n.st = 'open') THEN 'open' ELSE 'in' END FROM w LEFT JOIN e ON e.a = w.id LEFT JOIN w n ON n.id = e.b WHERE (SELECT bool_or(st = 'open') FROM w) GROUP BY w.k, w.id, w.st)
+SELECT event_id, is_fire FROM f JOIN w ON w.id = f.event_id WHERE st = 'in' AND k = (SELECT max(k) FROM w)""")
+def thinned_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thinning with its own limits in a stated order."""
+    return P.thin(X.points(spark, sf_dir), priority=F.col("event_id") * 7919 % 1009).select("event_id", "is_fire")
+
+
 @query(f"WITH {X.FIRES_SQL} SELECT a.event_id, count(*) AS n FROM fires a JOIN fires b ON a.event_id <> b.event_id AND abs(date_diff('day', a.acq_date, b.acq_date)) <= 15 AND {X.km_sql('a', 'b')} < 20 GROUP BY 1")
 def conflict_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.conflicts(X.fires(spark, sf_dir), 20.0, 15).groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
@@ -200,15 +211,22 @@ def quiet_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- statistics ----
 
 
-@query(f"""WITH {X.FIRES_SQL}, p AS (SELECT a.event_id a, b.event_id b, sqrt(pow(a.longitude - b.longitude, 2) + pow(a.latitude - b.latitude, 2)) d, abs(date_diff('day', a.acq_date, b.acq_date)) t FROM fires a JOIN fires b ON a.event_id < b.event_id),
+_KNOX = f"""WITH {X.FIRES_SQL}, p AS (SELECT a.event_id a, b.event_id b, sqrt(pow(a.longitude - b.longitude, 2) + pow(a.latitude - b.latitude, 2)) d, abs(date_diff('day', a.acq_date, b.acq_date)) t FROM fires a JOIN fires b ON a.event_id < b.event_id),
 g AS (SELECT * FROM (VALUES (10.0::DOUBLE), (12.0::DOUBLE), (15.0::DOUBLE)) s(ds), (VALUES (7), (15), (30)) u(dt)),
-o AS (SELECT ds, dt, count(*) FILTER (d <= ds AND t <= dt) AS observed, count(*) FILTER (d <= ds) AS close_s, count(*) FILTER (t <= dt) AS close_t, count(*) AS n FROM g, p GROUP BY 1, 2)
+o AS (SELECT ds, dt, count(*) FILTER (d <= ds AND t <= dt) AS observed, count(*) FILTER (d <= ds) AS close_s, count(*) FILTER (t <= dt) AS close_t, count(*) AS n FROM g, p GROUP BY 1, 2)"""
+
+
+@query(f"""{_KNOX}
 SELECT ds, dt, observed, round(close_s::DOUBLE*close_t/n, 1) AS expected, round(observed/(close_s::DOUBLE*close_t/n), 4) AS ratio, CASE WHEN observed/(close_s::DOUBLE*close_t/n) BETWEEN 0.9 AND 1.1 THEN 'PASSED' ELSE 'FAILED' END AS status FROM o""")
 def knox_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.knox(X.fires(spark, sf_dir)).select("ds", "dt", "observed", F.round("expected", 1).alias("expected"), F.round("ratio", 4).alias("ratio"), "status")
 
 
-@query()
+# the Poisson tail term by term
+@query(f"""{_KNOX},
+x AS (SELECT *, close_s::DOUBLE*close_t/n AS mean FROM o),
+q AS (SELECT ds, dt, greatest(0, 1 - sum(exp(i*ln(mean) - mean - lgamma(i + 1)))) AS p FROM x, range(0, (SELECT max(observed) FROM o)) r(i) WHERE i < observed GROUP BY 1, 2)
+SELECT ds, dt, observed, round(mean, 1) AS expected, round(observed/mean, 4) AS ratio, CASE WHEN coalesce(p, 1) < 0.001 THEN '< 0.001' ELSE printf('%.3f', coalesce(p, 1)) END AS p_value, CASE WHEN observed/mean BETWEEN 0.9 AND 1.1 THEN 'PASSED' ELSE 'FAILED' END AS status FROM x LEFT JOIN q USING (ds, dt)""")
 def knox_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.knox_report(X.fires(spark, sf_dir))
 
@@ -409,7 +427,16 @@ def terrain_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not isnan(elevation)").select(*R.CELL, *(r6(n).alias(n) for n in R.TERRAIN))
 
 
-@query()
+# all cells relax in rounds until nothing changes
+@query(f"""WITH RECURSIVE {X.CELLS_SQL},
+p AS (SELECT *, bridge = 1 OR NOT (water = 1 OR scl = 6 OR isnan(z)) AS passable FROM cells),
+g AS (SELECT a."row" AS r, a.col AS c, b."row", b.col, b.road, b.z - a.z AS dh, CASE WHEN a."row" <> b."row" AND a.col <> b.col THEN 14.1421356 ELSE 10.0 END AS dx
+ FROM p a JOIN p b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a."row" <> b."row" OR a.col <> b.col) WHERE b.passable AND NOT isnan(a.z) AND NOT isnan(b.z)),
+e AS (SELECT r, c, "row", col, (dx/1000/(6*exp(-3.5*abs(dh/dx + 0.05))) + greatest(dh, 0)/600)*CASE WHEN road = 1 THEN 1 ELSE 2.5 END AS t FROM g WHERE dh/dx BETWEEN -0.7002 AND 0.7813 AND 6*exp(-3.5*abs(dh/dx + 0.05)) > 0.01
+ UNION ALL SELECT "row", col, "row", col, 0 FROM p),
+w(k, "row", col, h, fell) AS (SELECT 0, "row", col, CASE WHEN road = 1 AND passable THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END, true FROM p
+ UNION ALL SELECT w.k + 1, e."row", e.col, min(w.h + e.t), min(w.h + e.t) < min(CASE WHEN e.r = e."row" AND e.c = e.col THEN w.h END) FROM w JOIN e ON w."row" = e.r AND w.col = e.c WHERE (SELECT bool_or(fell) FROM w) GROUP BY 1, 2, 3)
+SELECT 0 AS scene_id, "row", col, round(least(h, 12), 6) AS hours, h < 'inf'::DOUBLE AS reachable FROM w WHERE k = (SELECT max(k) FROM w)""")
 def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.passability(X.scene_cells(spark, sf_dir)).withColumn("source", F.col("road"))
     return access.travel_time(c).select(*R.CELL, r6("hours").alias("hours"), "reachable")
