@@ -427,16 +427,20 @@ def terrain_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("not isnan(elevation)").select(*R.CELL, *(r6(n).alias(n) for n in R.TERRAIN))
 
 
-# all cells relax in rounds until nothing changes
-@query(f"""WITH RECURSIVE {X.CELLS_SQL},
-p AS (SELECT *, bridge = 1 OR NOT (water = 1 OR scl = 6 OR isnan(z)) AS passable FROM cells),
-g AS (SELECT a."row" AS r, a.col AS c, b."row", b.col, b.road, b.z - a.z AS dh, CASE WHEN a."row" <> b."row" AND a.col <> b.col THEN 14.1421356 ELSE 10.0 END AS dx
- FROM p a JOIN p b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a."row" <> b."row" OR a.col <> b.col) WHERE b.passable AND NOT isnan(a.z) AND NOT isnan(b.z)),
-e AS (SELECT r, c, "row", col, (dx/1000/(6*exp(-3.5*abs(dh/dx + 0.05))) + greatest(dh, 0)/600)*CASE WHEN road = 1 THEN 1 ELSE 2.5 END AS t FROM g WHERE dh/dx BETWEEN -0.7002 AND 0.7813 AND 6*exp(-3.5*abs(dh/dx + 0.05)) > 0.01
- UNION ALL SELECT "row", col, "row", col, 0 FROM p),
-w(k, "row", col, h, fell) AS (SELECT 0, "row", col, CASE WHEN road = 1 AND passable THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END, true FROM p
- UNION ALL SELECT w.k + 1, e."row", e.col, min(w.h + e.t), min(w.h + e.t) < min(CASE WHEN e.r = e."row" AND e.c = e.col THEN w.h END) FROM w JOIN e ON w."row" = e.r AND w.col = e.c WHERE (SELECT bool_or(fell) FROM w) GROUP BY 1, 2, 3)
-SELECT 0 AS scene_id, "row", col, round(least(h, 12), 6) AS hours, h < 'inf'::DOUBLE AS reachable FROM w WHERE k = (SELECT max(k) FROM w)""")
+def _walk_sql(cells: str, source: str, n: str = "") -> str:
+    """CTEs up to ``hours{n}``: all ``cells`` (with ``passable``) relax in rounds until nothing changes."""
+    return f"""p{n} AS (SELECT *, {source} AS source FROM {cells}),
+g{n} AS (SELECT a."row" AS r, a.col AS c, b."row", b.col, b.source, b.z - a.z AS dh, CASE WHEN a."row" <> b."row" AND a.col <> b.col THEN 14.1421356 ELSE 10.0 END AS dx
+ FROM p{n} a JOIN p{n} b ON b."row" BETWEEN a."row" - 1 AND a."row" + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a."row" <> b."row" OR a.col <> b.col) WHERE b.passable AND NOT isnan(a.z) AND NOT isnan(b.z)),
+e{n} AS (SELECT r, c, "row", col, (dx/1000/(6*exp(-3.5*abs(dh/dx + 0.05))) + greatest(dh, 0)/600)*CASE WHEN source THEN 1 ELSE 2.5 END AS t FROM g{n} WHERE dh/dx BETWEEN -0.7002 AND 0.7813 AND 6*exp(-3.5*abs(dh/dx + 0.05)) > 0.01
+ UNION ALL SELECT "row", col, "row", col, 0 FROM p{n}),
+w{n}(k, "row", col, h, fell) AS (SELECT 0, "row", col, CASE WHEN source AND passable THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END, true FROM p{n}
+ UNION ALL SELECT w.k + 1, e."row", e.col, min(w.h + e.t), min(w.h + e.t) < min(CASE WHEN e.r = e."row" AND e.c = e.col THEN w.h END) FROM w{n} w JOIN e{n} e ON w."row" = e.r AND w.col = e.c WHERE (SELECT bool_or(fell) FROM w{n}) GROUP BY 1, 2, 3),
+hours{n} AS (SELECT "row", col, least(h, 12) AS hours, h < 'inf'::DOUBLE AS reachable FROM w{n} WHERE k = (SELECT max(k) FROM w{n}))"""
+
+
+@query(f"""WITH RECURSIVE {X.CELLS_SQL}, open AS (SELECT *, bridge = 1 OR NOT (water = 1 OR scl = 6 OR isnan(z)) AS passable FROM cells), {_walk_sql("open", "road = 1")}
+SELECT 0 AS scene_id, "row", col, round(hours, 6) AS hours, reachable FROM hours""")
 def travel_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.passability(X.scene_cells(spark, sf_dir)).withColumn("source", F.col("road"))
     return access.travel_time(c).select(*R.CELL, r6("hours").alias("hours"), "reachable")
@@ -466,7 +470,19 @@ def _masks(cells: DataFrame) -> dict[str, DataFrame]:
     return {n: cells.where(c) for n, c in {"water": "water = 1", "bridges": "bridge = 1", "roads": "road = 1", "trails": "row = 30 and col % 5 <> 0", "railways": "(row*31 + col*17) % 97 = 3", "power": "row = col"}.items()}
 
 
-@query()
+_FAR = ", ".join(f"""(SELECT min(sqrt(pow(b."row" - o."row", 2) + pow(b.col - o.col, 2)))*10.0 FROM open b WHERE {mark}) AS {n}""" for n, mark in (("rail", '(b."row"*31 + b.col*17) % 97 = 3'), ("power", 'b."row" = b.col')))
+
+
+@query(f"""WITH RECURSIVE {X.CELLS_SQL}, open AS (SELECT *, bridge = 1 OR NOT (water = 1 OR isnan(z) OR (scl = 6 AND "row" BETWEEN 8 AND 31 AND col BETWEEN 8 AND 31)) AS passable FROM cells),
+{_walk_sql("open", "road = 1", "1")}, {_walk_sql("open", '"row" = 30 AND col % 5 <> 0', "2")},
+n AS (SELECT *, (coalesce(lead(z) OVER v, z) - coalesce(lag(z) OVER v, z))/((CASE WHEN lag(z) OVER v IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER v IS NULL THEN 0 ELSE 1 END)*10.0) AS s,
+ (coalesce(lead(z) OVER h, z) - coalesce(lag(z) OVER h, z))/((CASE WHEN lag(z) OVER h IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(z) OVER h IS NULL THEN 0 ELSE 1 END)*10.0) AS e
+ FROM open WINDOW v AS (PARTITION BY col ORDER BY "row"), h AS (PARTITION BY "row" ORDER BY col)),
+t AS (SELECT "row", col, z, degrees(atan(sqrt(e*e + s*s))) AS slope, s/sqrt(e*e + s*s) AS north, -e/sqrt(e*e + s*s) AS east FROM n),
+d AS (SELECT o."row", o.col, {_FAR} FROM open o)
+SELECT 0 AS scene_id, t."row" - 8 AS "row", t.col - 8 AS col, round(z, 6) AS Elevation, round(slope, 6) AS Slope, round(CASE WHEN slope < 0.1 THEN 0 ELSE north END, 6) AS Northness, round(CASE WHEN slope < 0.1 THEN 0 ELSE east END, 6) AS Eastness,
+ round(a.hours, 6) AS Travel_Time_Roads, round(b.hours, 6) AS Travel_Time_Trails, round(rail, 6) AS Dist_to_Railways, 50000.0::DOUBLE AS Dist_to_Camps, round(power, 6) AS Dist_to_Powerlines
+FROM t JOIN hours1 a USING ("row", col) JOIN hours2 b USING ("row", col) JOIN d USING ("row", col) WHERE t."row" BETWEEN 8 AND 31 AND t.col BETWEEN 8 AND 31""")
 def static_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine layers of a 24 x 24 window inside the lattice, buffered by 8 cells."""
     c = X.scene_cells(spark, sf_dir)
