@@ -11,19 +11,29 @@ from ..functions.session import cut
 def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``id, label``: the smallest id of each component. ``edges``: ``a, b`` in both directions.
 
-    Each round takes the least label about, then jumps to the label's label; rounds end when nothing changes.
+    In each round every node hooks to its least neighbour if that is smaller; hooks are followed to their ends and
+    the edges contracted to these, so that a round works on what the one before has left. Ends are local minima, so
+    the last end of a component is its smallest id.
     """
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    labels = nodes.select("id", F.col("id").alias("label"))
+    e = edges.where("a <> b").select("a", "b")
     for _ in range(max_rounds):
-        least = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("least"))
-        new = labels.join(least, labels.id == least.a, "left").select("id", F.least("label", "least").alias("label"), F.col("label").alias("was"))
-        new = cut(new)
-        jump = new.select(F.col("id").alias("j"), F.col("label").alias("to"))
-        new = cut(new.join(jump, F.col("label") == F.col("j")).select("id", F.col("to").alias("label"), "was"))
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
+        hook = cut(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        if hook.isEmpty():
+            return cut(labels)
+        for _ in range(max_rounds):
+            step = lambda d: d.join(hook.select(F.col("a").alias("__a"), F.col("m").alias("__m")), F.col("m") == F.col("__a")).select("a", F.col("__m").alias("m"), "was")  # noqa: B023, E731
+            hook = cut(step(step(step(hook.withColumn("was", F.col("m"))))))  # four times as far
+            moved = not hook.where("m <> was").isEmpty()
+            hook = hook.select("a", "m")
+            if not moved:
+                break
+        else:
+            raise RuntimeError(f"hooks did not end in {max_rounds} rounds")
+        e = e.join(hook, "a").select(F.col("m").alias("__m"), F.col("b").alias("a")).join(hook, "a").select(F.col("__m").alias("a"), F.col("m").alias("b"))
+        e = cut(e.where("a <> b").distinct())
+        to = hook.where("a <> m").select(F.col("a").alias("label"), "m")
+        labels = cut(labels.join(to, "label", "left").select("id", F.coalesce("m", "label").alias("label")))
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 

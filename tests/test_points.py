@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinderlake.operators import nearby, points as P
+from cinderlake.functions.session import cut
+from cinderlake.operators import graph, nearby, points as P
 from cinderlake.sources import fixtures as X
 
 SF = "/root/testdata/sf0.01"
@@ -92,6 +93,23 @@ def test_dbscan_with_crowded_cells(spark, where):
     assert [got[i] for i in range(len(rows))] == want and len({w for w in want if w < 100_000}) > 1
 
 
+def test_cut_carries_no_constraints_along(spark):
+    d = cut(spark.range(5).where("id > 1").withColumn("b", F.col("id")).select("id", "b", (F.col("id") + F.col("b")).alias("c")))
+    assert d._jdf.queryExecution().optimizedPlan().constraints().size() == 0
+    assert sorted(tuple(x) for x in d.collect()) == [(2, 2, 4), (3, 3, 6), (4, 4, 8)]
+
+
+def test_labels_of_paths_stars_and_random_graphs(spark):
+    r = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 130)] + [tuple(map(int, x)) for x in r.integers(300, 420, (90, 2))]
+    up = list(range(430))
+    for a, b in edges * 430:
+        up[a] = up[b] = min(up[a], up[b])
+    d = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a bigint, b bigint")
+    got = {x.id: x.label for x in graph.min_labels(spark.range(430), d).collect()}
+    assert got == dict(enumerate(up))
+
+
 @pytest.mark.parametrize("limit,days", [(20.0, 15), (60.0, 3)])
 def test_thinning_equals_a_sequential_pass(spark, limit, days):
     p = X.points(spark, SF).where("event_id < 6000")
