@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, require
-from ._words import U, Words, keeps, texts
+from ._words import U, Words, give_back, keeps, texts
 
 CAPACITY = 2048
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Distinct words in a worker's table, about 40 bytes each (results do not depend on it).
 REMEMBERED = 2_000_000
 #: Stands for the end of a text in the table of words; its id is 0.
@@ -174,6 +174,7 @@ def encoder(path: str) -> Encoder:
     """One per worker process, kept between tasks until the worker turns to another operator."""
     if path not in _known:
         _known.clear()
+        give_back()
         _known[path] = Encoder(path)
     keeps(_known.clear)
     return _known[path]

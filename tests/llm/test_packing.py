@@ -84,3 +84,14 @@ def test_plan_holds_the_histogram(seed):
 
 def test_empty(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_a_new_table_of_words_makes_others_let_go():
+    from cinderlake.llm import _words
+
+    held = [1]
+    _words.keeps(held.clear)
+    packing._known.clear()
+    packing.encoder(packing.default_tokenizer())
+    packing._known.clear()
+    assert held == []
