@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
+from ..functions.session import cut, ship
 
+#: Edges that one task contracts (16 MB of ids): fewer jobs, whose plans and threads are what fills the driver.
+FEW_EDGES = 1 << 20
 
-def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``id, label``: the smallest id of each component. ``edges``: ``a, b`` in both directions.
+
+def _ends(batches):
+    """``a, m``: the smallest node of each node's component, of all edges of one task."""
+    batches = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not batches:
+        return
+    a, b = (np.concatenate(x) for x in zip(*batches, strict=True))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    (x, y), label = np.split(at, 2), np.arange(len(ids))
+    while True:
+        new, p, q = label.copy(), label[x], label[y]
+        np.minimum.at(new, p, q)
+        np.minimum.at(new, q, p)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["a", "m"])
+
+
+def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64, few: int = FEW_EDGES) -> DataFrame:
+    """``id, label``: the smallest id of each component. ``edges``: ``a, b`` (bigint) in both directions.
 
     In each round every node hooks to its least neighbour if that is smaller; hooks are followed to their ends and
     the edges contracted to these, so that a round works on what the one before has left. Ends are local minima, so
-    the last end of a component is its smallest id.
+    the last end of a component is its smallest id. Once ``few`` edges are left, one task contracts them to the end.
     """
     labels = nodes.select("id", F.col("id").alias("label"))
-    e = edges.where("a <> b").select("a", "b")
+    e = cut(edges.where("a <> b").select("a", "b"))
     for _ in range(max_rounds):
-        hook = cut(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        if hook.isEmpty():
+        left = e.count()
+        if not left:
             return cut(labels)
+        if left <= few:
+            ship(e.sparkSession)
+            to = e.coalesce(1).select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_ends, "a bigint, m bigint").where("a <> m")
+            to = to.withColumnRenamed("a", "label")
+            return cut(labels.join(to, "label", "left").select("id", F.coalesce("m", "label").alias("label")))
+        hook = cut(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         for _ in range(max_rounds):
             step = lambda d: d.join(hook.select(F.col("a").alias("__a"), F.col("m").alias("__m")), F.col("m") == F.col("__a")).select("a", F.col("__m").alias("m"), "was")  # noqa: B023, E731
             hook = cut(step(step(step(hook.withColumn("was", F.col("m"))))))  # four times as far

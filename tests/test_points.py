@@ -151,6 +151,23 @@ def test_strata_edge_cases(spark):
     assert [(r.frp, r.frp_bin) for r in got.orderBy("event_id").collect()] == [(1.0, "small"), (2.0, "small"), (3.0, "small"), (4.0, "medium"), (5.0, "medium"), (6.0, "large"), (7.0, "large"), (1.0, "small"), (2.0, "large")]
 
 
+def test_small_graphs_take_one_job_not_rounds(spark, monkeypatch):
+    """Rounds and one task give the same labels, the one task in two tables; also of many edges' partitions, loops and lone nodes."""
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(600)
+    pairs = [*zip(chain[:-1], chain[1:]), *rng.integers(600, 900, (150, 2)), (950, 950)]
+    e = spark.createDataFrame([(int(x), int(y)) for a, b in pairs for x, y in ((a, b), (b, a))], "a bigint, b bigint").repartition(7)
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: made.append(1) or cut(d))
+    one = {r.id: r.label for r in graph.min_labels(spark.range(1000), e).collect()}
+    assert len(made) <= 2
+    rounds = {r.id: r.label for r in graph.min_labels(spark.range(1000), e, few=0).collect()}
+    assert one == rounds and len(one) == 1000 and {one[k] for k in range(600)} == {0} and one[950] == 950
+    last = {r.id: r.label for r in graph.min_labels(spark.range(1000), e, few=300).collect()}
+    assert last == one
+    assert graph.min_labels(spark.range(3), e.where("false")).count() == 3
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     fires = X.fires(spark, SF)
